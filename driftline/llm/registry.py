@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from driftline.llm import exact_dedup, packing, sharding
+from driftline.llm import exact_dedup, html_text, licenses, mixing, packing, sharding
 
 _OPS = {
+    "op1_mixing": mixing,
     "op4_sharding": sharding,
     "op6_exact_dedup": exact_dedup,
     "op8_packing": packing,
+    "op9_licenses": licenses,
+    "op10_html_text": html_text,
 }
 
 
