@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from driftline.llm import exact_dedup, html_text, language_id, licenses, mixing, packing, sharding
+from driftline.llm import exact_dedup, html_text, language_id, licenses, mixing, packing, quality, sharding
 
 _OPS = {
     "op1_mixing": mixing,
     "op2_language_id": language_id,
     "op4_sharding": sharding,
+    "op5_quality": quality,
     "op6_exact_dedup": exact_dedup,
     "op8_packing": packing,
     "op9_licenses": licenses,
