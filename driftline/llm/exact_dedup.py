@@ -24,7 +24,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftline.llm.common import materialise, table
@@ -77,8 +77,6 @@ def identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     cut = numbered.mapInArrow(_cut(block_bytes), _OUT_DDL)
     # A block comes once from each batch at most, so that the rows of one block stay few.
     sorted_blocks = cut.repartition("block").sortWithinPartitions("block").withColumn("i", F.monotonically_increasing_id())
-    from pyspark.sql import Window
-
     named = sorted_blocks.select(F.min("i").over(Window.partitionBy("block")).alias("name"), "places")
     level = materialise(named.select("name", F.explode("places").alias("p")).select("p.*", "name"), "blocks")
     heads = level.filter("pos = 0").select("rid", "doc_id", F.col("sha").alias("text_sha256"), "n", "name")
@@ -109,7 +107,7 @@ def identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
 
 
 def exact_duplicates(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 for every row of docs."""
+    """doc_id, keep_id, group_size, kept, text_sha256, row for every row of docs; row is its monotonically_increasing_id()."""
     ids = materialise(identities(docs, block_bytes), "identities")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
     groups = ids.groupBy("n_blocks", "name").agg(F.min(order).alias("first"), F.count("*").alias("size")).filter("size > 1")
@@ -119,12 +117,12 @@ def exact_duplicates(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFra
         F.when(F.col("size").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("keep_id"),
         F.coalesce("size", F.lit(1)).cast("long").alias("group_size"),
         (F.col("size").isNull() | (F.col("rid") == F.col("first.rid"))).alias("kept"),
-        "text_sha256",
-    )
+        "text_sha256", F.col("rid").alias("row"),
+    )
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_duplicates(table(spark, sf_dir, "documents"))
+    return exact_duplicates(table(spark, sf_dir, "documents")).drop("row")
 
 
 ORACLE_SQL = r"""

@@ -234,30 +234,44 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_words: int =
     return train(words, seed)
 
 
-def predict(docs: DataFrame, model: tuple[list[str], dict[str, np.ndarray]], keep: list[str], cache_words: int = CACHE_WORDS) -> DataFrame:
-    """The columns in keep, with lang_pred and score, for every row of docs."""
-    rows = docs.select(*keep, F.col("text").cast("string").alias("the_text"))
-    names = rows.columns[:-1]
+def predict(docs: DataFrame, model: tuple[list[str], dict[str, np.ndarray]], keep: list[str], names: tuple[str, str] = ("lang_pred", "score"), cache_words: int = CACHE_WORDS) -> DataFrame:
+    """The columns in keep, then the predicted language and its score under the given names, for every row of docs."""
+    text = F.col("text").cast("string")
+    inner = [f"k{i}" for i in range(len(keep))]
+    rows = docs.select(*(F.col(c).alias(k) for c, k in zip(keep, inner, strict=True)), *([] if "text" in keep else [text.alias("text")]))
+    where = keep.index("text") if "text" in keep else len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(*model, cache_words)
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                found = reader.documents([x or b"" for x in part.column(len(names)).cast(pa.binary()).to_pylist()])
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=[*names, "lang_pred", "score"])
+                found = reader.documents([x or b"" for x in part.column(where).cast(pa.binary()).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(inner)], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=[*inner, "pred", "prob"])
 
-    schema = rows.drop("the_text").withColumns({"lang_pred": F.lit("").cast("string"), "score": F.lit(0.0)}).schema
-    return rows.mapInArrow(run, schema)
+    schema = rows.select(*inner).withColumns({"pred": F.lit("x"), "prob": F.lit(0.0)}).schema
+    found = rows.mapInArrow(run, schema)
+    return found.select(*(F.col(k).alias(c) for c, k in zip(keep, inner, strict=True)), F.col("pred").alias(names[0]), F.col("prob").alias(names[1]))
 
 
-def identify(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """keep (doc_id alone unless given), held_out, lang_pred, score for every row of docs, learned from the rows not held out."""
-    out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 == 2
-    model = fit(docs.select("doc_id", "text", "lang").filter(~out))
-    keep = keep or ["doc_id"]
-    found = predict(docs, model, keep)
-    return found.select(*keep, out.alias("held_out"), "lang_pred", "score")
+def _held_out() -> F.Column:
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 == 2
+
+
+def fitted(docs: DataFrame, **options) -> tuple[list[str], dict[str, np.ndarray]]:
+    """The model learned from the rows of docs that are not held out."""
+    return fit(docs.select("doc_id", "text", "lang").filter(~_held_out()), **options)
+
+
+def identify(docs: DataFrame) -> DataFrame:
+    """doc_id, held_out, lang_pred, score for every row of docs, learned from the rows not held out."""
+    return predict(docs, fitted(docs), ["doc_id"]).select("doc_id", _held_out().alias("held_out"), "lang_pred", "score")
+
+
+def recognised(docs: DataFrame) -> DataFrame:
+    """docs, all its columns, without the rows whose language is undetermined."""
+    found = predict(docs, fitted(docs), docs.columns, names=("driftline_lang", "driftline_score"))
+    return found.filter(F.col("driftline_lang") != UNDETERMINED).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

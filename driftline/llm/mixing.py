@@ -58,10 +58,10 @@ def inversion(rates: DataFrame) -> DataFrame:
     return summed.groupBy("source", "rate").agg(F.transform(F.sort_array(F.collect_list("at")), lambda x: x["c"]).alias("cdf"))
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, rows: int | None = None, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
-    """docs with each row as often as drawn, in a random global order."""
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, rows: int | None = None, alpha: float = ALPHA, seed: int = SEED, added: bool = True) -> DataFrame:
+    """docs with each row as often as drawn, in a random global order; with the columns mix_* unless added is false."""
     draws = materialise(inversion(rates(docs, weights, rows, alpha)).withColumnRenamed("source", "mix_source"), "inversion")
-    columns = [c for c in docs.columns if c not in ("mix_rate", "mix_copy", "mix_key")]
+    columns = [c for c in docs.columns if not (added and c in ("mix_rate", "mix_copy", "mix_key"))]
     who = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.col("text").cast("string")), F.lit(""))
     held = docs.select(F.struct(*columns).alias("doc"), F.col("source").alias("own_source"), who.alias("who"))
     held = held.withColumn("u", (_number(F.md5(F.concat_ws("|", F.lit(str(seed)), "who"))).cast("double") + 0.5) / F.lit(2.0**52))
@@ -70,6 +70,8 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, rows: int | No
     copies = drawn.withColumn("repeats", repeats).filter("repeats > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("repeats"))))
     keyed = copies.withColumn("mix_key", _number(F.md5(F.concat_ws("|", F.lit(str(seed)), "who", F.col("mix_copy").cast("string")))))
     shuffled = keyed.select("doc", "rate", "mix_copy", "mix_key").repartition("mix_key").sortWithinPartitions("mix_key")
+    if not added:
+        return shuffled.select("doc.*")
     return shuffled.select("doc.*", F.col("rate").alias("mix_rate"), F.col("mix_copy").cast("long").alias("mix_copy"), "mix_key")
 
 

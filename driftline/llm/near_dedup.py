@@ -186,7 +186,10 @@ def _cross_pairs(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, rows: int = ROWS, miss: float = MISS) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, row: one row per row of docs; row is unique."""
+    """doc_id, n_shingles, component_id, kept, row, stays: one row per row of docs.
+
+    row is the row's monotonically_increasing_id() in docs; stays is true for one row of each component.
+    """
     bands = n_bands(percent, rows, miss)
     # Null and repeated doc_ids are told apart by a hash of the text, which has no say in the links.
     read = docs.selectExpr("cast(doc_id as bigint) doc_id", "xxhash64(cast(text as string)) text_hash", "cast(text as string) text")
@@ -214,11 +217,13 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
         labels = components(links.union(more))
 
     found = materialise(_of_components(noded.select("row", "doc_id", "n", "node"), labels), "found")
-    least = found.filter("n > 0").groupBy("component").agg(F.min("doc_id").alias("least"), F.count("*").alias("size")).filter("size > 1").select("component", "least")
-    out = found.join(materialise(least, "least"), "component", "left")
-    component_id = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("least", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component_id.alias("component_id"), F.col("doc_id").eqNullSafe(component_id).alias("kept"), "row")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
+    least = found.filter("n > 0").groupBy("component").agg(first, F.count("*").alias("size")).filter("size > 1").select("component", "first")
+    out = found.join(materialise(least, "least"), "component", "left").withColumn("alone", (F.col("n") == 0) | F.col("first").isNull())
+    component_id = F.when(F.col("alone"), F.col("doc_id")).otherwise(F.col("first.doc_id"))
+    kept, stays = F.col("doc_id").eqNullSafe(component_id), F.col("alone") | (F.col("row") == F.col("first.row"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component_id.alias("component_id"), kept.alias("kept"), "row", stays.alias("stays"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85).drop("row")
+    return near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85).drop("row", "stays")
