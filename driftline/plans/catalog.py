@@ -2,16 +2,61 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from driftline.functions.dialect import DUCKDB, SPARK
+from driftline.operators import blocks
+from driftline.operators.preprocess import build_preprocessed, preprocess_sql
+from driftline.sources.series import E1, L1, L2, Adapter
+
 Query = Callable[[SparkSession, str], DataFrame]
 
+TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
+
+
+def run_sql(sql: str) -> Query:
+    """A query over the stored tables that its text names."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        used = [t for t in TABLES if re.search(rf"\b(?:FROM|JOIN) {t}\b", sql)]
+        text = sql
+        for t in used:
+            text = re.sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 {{{t}}}", text)
+        return spark.sql(text, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used})
+
+    return query
+
+
+def over_prepared(sql: str, adapter: Adapter) -> Query:
+    """A query over p, the stored preprocessed table of an adapter."""
+    text = re.sub(r"\b(FROM|JOIN) p\b", r"\1 {p} AS p", sql)
+    return lambda spark, sf_dir: spark.sql(text, p=build_preprocessed(spark, sf_dir, adapter))
+
+
+#: Preprocessed columns by query name.
+PREP = {
+    "prep_standardized": "standardized", "prep_clipped": "clipped", "prep_detrended": "detrended", "prep_diff": "diff_standardized", "prep_diff_detrended": "diff_detrended",
+    "prep_absdiff": "absdiff_detrended", "prep_absval": "absval_detrended", "prep_squared": "squared_detrended", "prep_diff2": "diff2_standardized", "prep_diff2_detrended": "diff2_detrended",
+}
+#: Series that a block's query reads; users' events unless listed.
+ADAPTERS: dict[str, Adapter] = {"ks": L2, "js": L2, "rolling": L1, "boundary_local_w128": L1, "ewvar": L1, "ar1": L1, "glr_css": L1, "moments": L1}
+
+
+_PREP_SELECT = "SELECT id, CAST(time AS BIGINT) AS time, CAST(period AS BIGINT) AS period, round({c}, 6) + 0e0 AS {c} FROM p"
+
 
 def queries() -> dict[str, Query]:
-    return {}
+    out = {name: over_prepared(_PREP_SELECT.format(c=c), E1) for name, c in PREP.items()}
+    for name, block in blocks.BLOCKS.items():
+        out[f"feat_{name}"] = over_prepared(block(SPARK).over_p(), ADAPTERS.get(name, E1))
+    return out
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    out = {name: f"WITH {preprocess_sql(E1, DUCKDB)}\n{_PREP_SELECT.format(c=c)}" for name, c in PREP.items()}
+    for name, block in blocks.BLOCKS.items():
+        out[f"feat_{name}"] = block(DUCKDB).sql(ADAPTERS.get(name, E1), DUCKDB)
+    return out
