@@ -1 +1,7 @@
-"""Part of driftline."""
+"""Operators on series. Functions that run on executors are sent by value."""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -78,3 +78,8 @@ def build_preprocessed(spark: SparkSession, sf_dir: str, adapter: Adapter, force
         return spark.sql(re.sub(rf"\bFROM {name}\b", "FROM {raw}", text), raw=spark.read.parquet(path))
 
     return stored(spark, key, build, "id", ["id", "period", "t"], sum(size for _, size, _ in listing(spark, path)), force)
+
+
+def prepared_sql(sql: str) -> str:
+    """A statement over p with the placeholder {p} for the stored table."""
+    return re.sub(r"\b(FROM|JOIN) p\b", r"\1 {p} AS p", re.sub(r"\b(FROM|JOIN) p s\b", r"\1 {p} AS s", sql))
