@@ -133,11 +133,9 @@ def parse(page: str, template: frozenset[int] = frozenset()) -> tuple[set[int],
         if not e.out:
             e.parts.append(html.unescape(text) if "&" in text else text)
 
-    at = 0
-    for token in TOKEN.finditer(page):
+    at, search = 0, TOKEN.search
+    while token := search(page, at):
         start, end = token.span()
-        if start < at:  # within a script or the like
-            continue
         if start > at:
             say(page[at:start])
         at = end

@@ -1,0 +1,70 @@
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from driftline.llm import url_filter as m
+
+
+@pytest.fixture(scope="module")
+def pages(spark, tmp_path_factory):
+    def make(urls):
+        path = str(tmp_path_factory.mktemp("p") / "pages.parquet")
+        rows = [(i, u, "<p>", "x", "y", 1) for i, u in enumerate(urls)]
+        spark.createDataFrame(rows, "page_id long, url string, html string, template string, host string, n long").write.parquet(path)
+        return spark.read.parquet(path)
+
+    return make
+
+
+def parts(url):
+    if not url or "://" not in url:
+        return "", ""
+    rest = url.split("://", 1)[1]
+    host = re.match(r"[^/?#]*", rest)[0]
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in host), re.match(r"[^?#]*", rest[len(host) :])[0]
+
+
+def rule(host, path):
+    fits = [(len(h + p), h + p, v) for v, h, p in m.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return max(fits)[1:] if fits else (None, None)
+
+
+def test_rules_and_parts(pages):
+    urls = [None, "", "no scheme", "http://", "HTTP://Www.EXAMPLE.Com/en/7?x#y", "https://example.com/en/71", "https://xexample.com/en/1", "ftp://a.net/de/8", "http://b.example.net/de/81/", "x://com/en/",
+            "http://É.org/es/a b", "http://org?es/", "http://a.b/c://d/e", "http://h#x/y", "http://example.com/en/7", "http://example.com/en/7"]
+    found = {r.page_id: r for r in m.filter_urls(pages(urls), m.RULES).collect()}
+    assert len(found) == len(urls)
+    for i, u in enumerate(urls):
+        host, path = parts(u)
+        want, verdict = rule(host, path)
+        assert (found[i].host, found[i].path, found[i].rule) == (host, path, want), u
+        assert found[i].verdict == (verdict or found[i].verdict) and found[i].verdict in ("allow", "block")
+
+
+def test_purity_rejects_what_is_like_the_blocked(pages):
+    urls = [f"http://spam.test/win/{i}-prize" for i in range(60)] + [f"http://spam.test/news/{i}" for i in range(60)] + [f"http://ok.test/win/{i}-prize" for i in range(60)]
+    rows = pages(urls)
+    host, path = m.host_and_path(F.col("url"))
+    # Two thirds of one template are known to be bad, some of the rest to be good.
+    label = F.when((F.col("page_id") < 40), "block").when((F.col("page_id") >= 60) & (F.col("page_id") % 2 == 0), "allow")
+    labelled = rows.select(host.alias("host"), path.alias("path"), label.alias("label"))
+    found = {(r.host, r.path): r.rejected for r in m.judged(m.merged(m.templates(labelled))).collect()}
+    assert all(found[("spam.test", f"/win/{i}-prize")] for i in range(60))
+    assert not any(v for (h, p), v in found.items() if h == "ok.test" or p.startswith("/news"))
+
+
+def test_wildcards(pages):
+    urls = [f"http://h/user/name{'abcdefghijklmnopqrstuvwxyz'[i % 26]}{'qwertyuiop'[i // 26]}x/profile" for i in range(80)] + ["http://h/about/us"] * 5
+    host, path = m.host_and_path(F.col("url"))
+    tree = m.templates(pages(urls).select(host.alias("host"), path.alias("path"), F.lit(None).cast("string").alias("label")))
+    assert {tuple(r.template) for r in tree.collect()} == {("user", "*", "profile"), ("about", "us")}
+
+
+def test_plan_has_no_python(pages):
+    plan = m.filter_urls(pages(["http://a.com/en/1"]), m.RULES)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_empty_table(pages):
+    assert m.filter_urls(pages([]), m.RULES).count() == 0
