@@ -228,6 +228,8 @@ def oracle_sql() -> dict[str, str]:
     stack_ctes, stack = _stack_sql(d)
     seed_ctes, seeds = _seeds_sql(d)
     out |= {
+        # The transform in Spark against sums over all frequencies.
+        "feat_spectral_fft": blocks.BLOCKS["spectral"](d).sql(E2, d),
         "feat_mmd": prep(E1) + ",\n" + ",\n".join(kernels.mmd_sql()) + "\nSELECT id, round(mmd, 6) + 0e0 AS mmd2_rbf_idrband_equal FROM mq",
         "auc_univariate": f"{auc}\nSELECT feature, round(auc, 6) AS auc FROM auc",
         "auc_documents": docs + ",\n".join(selection.auc_sql(["n_chars", "n_bytes"])) + "\nSELECT feature, round(auc, 6) AS auc FROM auc",
