@@ -26,6 +26,7 @@ alone.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
@@ -40,30 +41,65 @@ TIERS = (256, 512, 1024, 2048, 4096)
 END_ID, STEP_TOKENS, BLOCK_TOKENS, CACHE_WORDS = 2, 65_536, 1 << 21, 400_000
 
 
+#: A word that ends in marks: no token of the pre-tokeniser reaches from a letter or digit into marks other than the apostrophe.
+_MARKS_LAST = re.compile(rb"(.*[a-z0-9])([^A-Za-z0-9\x80-\xff']+)", re.S)
+
+
 class WordCodec:
-    """Ids of a text as little-endian unsigned 32-bit integers, by a cache of words."""
+    """Ids of a text as little-endian unsigned 32-bit integers, by a cache of words.
+
+    A new word that ends in marks is its stem and the marks. Words of letters only are one
+    pre-token each, which ends with a token that is marked so (suffix): they are encoded together,
+    joined by spaces, and the ids are parted behind these tokens.
+    """
 
-    def __init__(self, path: str, cache_words: int = CACHE_WORDS):
+    def __init__(self, path: str, cache_words: int = CACHE_WORDS, suffix: str = "</w>"):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer, self.limit = Tokenizer.from_file(path), cache_words
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
+        self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+        self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
 
     def _learn(self, words: set[bytes]) -> None:
-        young, old = self.young, self.old
-        new = []
+        young, old, marked, new = self.young, self.old, [], set()
         for w in words:
             if w not in young:
                 if (ids := old.get(w)) is not None:
                     young[w] = ids
+                elif b"<|" not in w and (parts := _MARKS_LAST.fullmatch(w)):
+                    marked.append((w, *parts.groups()))
                 else:
-                    new.append(w)
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
+                    new.add(w)
+        for _, *parts in marked:
+            for w in parts:
+                if w not in young:
+                    if (ids := old.get(w)) is not None:
+                        young[w] = ids
+                    else:
+                        new.add(w)
+        letters, others = [], []
+        for w in new:
+            (letters if w.isalpha() or w.decode().isalpha() else others).append(w)
+        groups = [letters[i : i + 500] for i in range(0, len(letters), 500)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([b" ".join(g).decode() for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(group):  # a letter whose lower case is no single letter
+                others += group
+                continue
+            data, at = ids.tobytes(), 0
+            for w, end in zip(group, (ends * 4).tolist(), strict=True):
+                young[w] = data[at:end]
+                at = end
+        for i in range(0, len(others), 10_000):
+            part = others[i : i + 10_000]
             for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
                 young[w] = np.array(e.ids, "<u4").tobytes()
+        for w, stem, marks in marked:
+            young[w] = young[stem] + young[marks]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Lower-casing A-Z here changes no id, as the tokenizer does so too; its special tokens are in lower case, so words with them are left as they are."""
