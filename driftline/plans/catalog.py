@@ -157,7 +157,7 @@ def _seeds_sql(d: Dialect) -> tuple[list[str], str]:
     ], "SELECT id, round(avg(p), 6) AS p FROM preds JOIN pb ON preds.seed = pb.seed GROUP BY id"
 
 
-_SMALL = {"stepSize": 0.1, "maxDepth": 3, "maxIter": 8, "subsamplingRate": 0.8, "minInstancesPerNode": 4}
+_SMALL = {"stepSize": 0.1, "maxDepth": 3, "maxIter": 5, "subsamplingRate": 0.8, "minInstancesPerNode": 4}
 
 
 def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,7 +171,7 @@ def _oof(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _stacked(spark: SparkSession, sf_dir: str):
     rows = _rows(spark, sf_dir)
-    return (*learning.train_stack(rows, COLUMNS, {"xgb_lite": _SMALL, "lgb_main": _SMALL | {"maxDepth": 2}}, 3, _SMALL | {"maxDepth": 2}), rows)
+    return (*learning.train_stack(rows, COLUMNS, {"xgb_lite": _SMALL, "lgb_main": _SMALL | {"maxDepth": 2}}, 2, _SMALL | {"maxDepth": 2}), rows)
 
 
 def _meta(spark: SparkSession, sf_dir: str) -> DataFrame:
