@@ -197,7 +197,7 @@ class Reader:
         lists = [words_of(t) for t in texts]
         if len(self.serial) > self.limit:
             self.serial, self.says = {}, self.says[:0]
-        if new := [w for w in set().union(*lists) if w not in self.serial]:
+        if self.langs and (new := [w for w in set().union(*lists) if w not in self.serial]):
             self._learn(sorted(new))
         get, out = self.serial.__getitem__, []
         for text, words in zip(texts, lists, strict=True):
@@ -268,10 +268,10 @@ def identify(docs: DataFrame) -> DataFrame:
     return predict(docs, fitted(docs), ["doc_id"]).select("doc_id", _held_out().alias("held_out"), "lang_pred", "score")
 
 
-def recognised(docs: DataFrame) -> DataFrame:
-    """docs, all its columns, without the rows whose language is undetermined."""
-    found = predict(docs, fitted(docs), docs.columns, names=("driftline_lang", "driftline_score"))
-    return found.filter(F.col("driftline_lang") != UNDETERMINED).select(*docs.columns)
+def undetermined(docs: DataFrame) -> DataFrame:
+    """row, the monotonically_increasing_id() in docs, of the rows whose language can't be determined."""
+    numbered = docs.select("text", F.monotonically_increasing_id().alias("row"))
+    return predict(numbered, fitted(docs), ["row"]).filter(F.col("lang_pred") == UNDETERMINED).select("row")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
