@@ -8,11 +8,14 @@ is chosen so that a pair at the threshold is missed with a chance below MISS. Ev
 the full sets of both documents: 100 * intersection >= percent * union.
 
 Large groups. Documents of equal sets are one node from the start. In each band bucket the members
-are verified against its least node only (a star), which joins most of a group of copies. Buckets
-that then still hold several components get an exact search: nodes of these buckets are compared if
-they lie in different components and share one of the rarest shingles that a pair at the threshold
-must share (prefix filtering, with frequencies within these nodes). No bucket is capped and no pair
-at the threshold among candidates is lost, yet a group of m copies yields about m comparisons.
+are verified against one leader only (a star): the member that shares the most bands with others,
+as the text that the others were copied from does, so that the star joins most of a group of
+copies. Buckets whose other members then still lie in several components get an exact search: such
+nodes are compared if they lie in different components, share one of the rarest shingles that a
+pair at the threshold must share (prefix filtering, with frequencies within these nodes), and have
+few enough shingles that no other of these nodes has: with u of them, a set of n shares n - u with
+another at most, and the union holds the other's set and u more. No bucket is capped and no pair at
+the threshold among candidates is lost, yet a group of m copies yields about m comparisons.
 
 Plan. The first pass writes, per document, the set's size, a 128-bit fingerprint and the bands, not
 the set. Band rows are (band, node, size), counted map-side; texts of candidates alone are read
@@ -175,14 +178,23 @@ def _cross_pairs(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs of nodes of different components that may be linked, among mixed (node, component)."""
     own = materialise(mixed.join(sets, "node").select("node", "component", "n", F.explode("shingles").alias("shingle")), "shingles")
     often = materialise(own.groupBy("shingle").agg(F.count("*").alias("often"), F.min("component").alias("low"), F.max("component").alias("high")), "often")
-    # The first n - ceil(percent n / 100) + 1 shingles in order of frequency.
+    found = own.join(often, "shingle").groupBy("node", "component", "n").agg(
+        F.count_if(F.col("often") == 1).alias("u"),
+        F.sort_array(F.collect_list(F.struct("often", "shingle", (F.col("low") != F.col("high")).alias("shared")))).alias("all"),
+    )
+    # The other's set has percent n / 100 shingles at least; the first n - ceil(percent n / 100) + 1 in order of frequency.
+    possible = found.filter(100 * 100 * (F.col("n") - F.col("u")) >= percent * (percent * F.col("n") + 100 * F.col("u")))
     need = F.col("n") - F.expr(f"({percent} * n + 99) div 100") + 1
-    ordered = own.join(often, "shingle").groupBy("node", "component", "n").agg(F.sort_array(F.collect_list(F.struct("often", "shingle", (F.col("low") != F.col("high")).alias("shared")))).alias("all"))
-    prefix = ordered.select("node", "component", "n", F.explode(F.slice("all", F.lit(1), need.cast("int"))).alias("s")).filter("s.shared").select("node", "component", "n", F.col("s.shingle").alias("shingle"))
-    prefix = materialise(prefix, "prefix")
-    left = prefix.select("shingle", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"))
-    right = prefix.select("shingle", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"))
-    return left.join(right, (left["shingle"] == right["shingle"]) & (F.col("ca") < F.col("cb")) & _near_sizes(percent)).select("a", "b").distinct()
+    shared = F.transform(F.filter(F.slice("all", F.lit(1), need.cast("int")), lambda s: s["shared"]), lambda s: s["shingle"])
+    prefix = materialise(possible.select("node", "component", "n", "u", shared.alias("prefix")), "prefix")
+    names = lambda x: [F.col(c).alias(f"{k}{x}") for c, k in (("component", "c"), ("n", "n"), ("u", "u"), ("prefix", "p"))]
+    side = lambda x: prefix.select(F.explode("prefix").alias("shingle"), F.col("node").alias(x), *names(x))
+    left, right = side("a"), side("b")
+    within = lambda x, y: 100 * (F.col(f"n{x}") - F.col(f"u{x}")) >= percent * (F.col(f"n{y}") + F.col(f"u{x}"))
+    # A pair that shares several shingles of its prefixes comes out at the least of them only.
+    once = F.array_min(F.array_intersect("pa", "pb")) == left["shingle"]
+    may = (left["shingle"] == right["shingle"]) & (F.col("ca") < F.col("cb")) & _near_sizes(percent) & within("a", "b") & within("b", "a") & once
+    return left.join(right, may).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, rows: int = ROWS, miss: float = MISS) -> DataFrame:
@@ -199,17 +211,24 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     nodes = noded.filter("n > 0 AND node = row")
 
     band_rows = nodes.select(F.explode("bands").alias("band"), "node", "n")
-    shared = materialise(band_rows.groupBy("band").agg(F.count("*").alias("members"), F.min(F.struct("node", "n")).alias("leader")).filter("members > 1").select("band", "leader"), "shared")
-    members = materialise(band_rows.join(shared, "band").select("band", "node", "n", "leader"), "members")
+    shared = materialise(band_rows.groupBy("band").agg(F.count("*").alias("members")).filter("members > 1"), "shared")
+    found = materialise(band_rows.join(shared, "band"), "found")
+    central = materialise(found.groupBy("node").agg(F.sum("members").alias("weight")), "central")
+    weighed = found.join(central, "node")
+    leaders = materialise(weighed.groupBy("band").agg(F.max(F.struct("weight", -F.col("node"), "n", "node")).alias("leader")).select("band", "leader.node", "leader.n").toDF("band", "leader", "leader_n"), "leaders")
+    members = materialise(found.join(leaders, "band").select("band", "node", "n", "leader", "leader_n"), "members")
     wanted = materialise(members.select("node").distinct().join(nodes.select("node", "doc_id", "text_hash", "set_id"), "node"), "wanted")
     its = (wanted["doc_id"].eqNullSafe(read["doc_id"])) & (wanted["text_hash"] == read["text_hash"])
-    sets = materialise(read.join(wanted, its).select("node", "set_id", "text").mapInArrow(_sets(words), "node bigint, n bigint, shingles array<bigint>").dropDuplicates(["node"]), "sets")
+    # The texts' shuffle is the same at every size; a join that is broadcast for small tables would hide it there.
+    sets = materialise(read.join(wanted.hint("merge"), its).select("node", "set_id", "text").mapInArrow(_sets(words), "node bigint, n bigint, shingles array<bigint>").dropDuplicates(["node"]), "sets")
 
-    star = members.filter("node <> leader.node").select(F.col("leader.node").alias("a"), F.col("node").alias("b"), F.col("leader.n").alias("na"), F.col("n").alias("nb"))
+    others = members.filter("node <> leader")
+    star = others.select(F.col("leader").alias("a"), F.col("node").alias("b"), F.col("leader_n").alias("na"), F.col("n").alias("nb"))
     links = materialise(verified(star.filter(_near_sizes(percent)).select("a", "b").distinct(), sets, percent), "links")
     labels = components(links)
 
-    placed = materialise(_of_components(members.select("band", "node"), labels), "placed")
+    # Every pair with a leader is decided; what is open lies between others of different components.
+    placed = materialise(_of_components(others.select("band", "node"), labels), "placed")
     mixed_bands = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("band")
     mixed = materialise(placed.join(materialise(mixed_bands, "mixed"), "band").select("node", "component").distinct(), "mixed_nodes")
     more = materialise(verified(_cross_pairs(mixed, sets, percent), sets, percent), "links")
