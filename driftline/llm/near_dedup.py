@@ -185,15 +185,22 @@ def _cross_pairs(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     # The other's set has percent n / 100 shingles at least; the first n - ceil(percent n / 100) + 1 in order of frequency.
     possible = found.filter(100 * 100 * (F.col("n") - F.col("u")) >= percent * (percent * F.col("n") + 100 * F.col("u")))
     need = F.col("n") - F.expr(f"({percent} * n + 99) div 100") + 1
-    shared = F.transform(F.filter(F.slice("all", F.lit(1), need.cast("int")), lambda s: s["shared"]), lambda s: s["shingle"])
-    prefix = materialise(possible.select("node", "component", "n", "u", shared.alias("prefix")), "prefix")
-    names = lambda x: [F.col(c).alias(f"{k}{x}") for c, k in (("component", "c"), ("n", "n"), ("u", "u"), ("prefix", "p"))]
-    side = lambda x: prefix.select(F.explode("prefix").alias("shingle"), F.col("node").alias(x), *names(x))
+    first = F.slice("all", F.lit(1), need.cast("int"))
+    shared = F.transform(F.filter(first, lambda s: s["shared"]), lambda s: s["shingle"])
+    whole = F.transform(first, lambda s: F.struct(s["often"].alias("often"), s["shingle"].alias("shingle")))
+    prefix = materialise(possible.select("node", "component", "n", "u", shared.alias("keys"), whole.alias("prefix")), "prefix")
+    names = lambda x: [F.col(c).alias(f"{k}{x}") for c, k in (("component", "c"), ("n", "n"), ("u", "u"), ("keys", "k"), ("prefix", "p"))]
+    side = lambda x: prefix.select(F.explode("keys").alias("shingle"), F.col("node").alias(x), *names(x))
     left, right = side("a"), side("b")
     within = lambda x, y: 100 * (F.col(f"n{x}") - F.col(f"u{x}")) >= percent * (F.col(f"n{y}") + F.col(f"u{x}"))
     # A pair that shares several shingles of its prefixes comes out at the least of them only.
-    once = F.array_min(F.array_intersect("pa", "pb")) == left["shingle"]
-    may = (left["shingle"] == right["shingle"]) & (F.col("ca") < F.col("cb")) & _near_sizes(percent) & within("a", "b") & within("b", "a") & once
+    once = F.array_min(F.array_intersect("ka", "kb")) == left["shingle"]
+    # Up to where the shorter of the two prefixes ends, all common shingles are in both prefixes; the rest may all be common.
+    end = F.least(F.element_at("pa", -1), F.element_at("pb", -1))
+    one, two = (F.filter(x, lambda s: s <= end) for x in ("pa", "pb"))
+    most = F.size(F.array_intersect(one, two)) + F.least(F.col("na") - F.size(one), F.col("nb") - F.size(two))
+    enough = (100 + percent) * most >= percent * (F.col("na") + F.col("nb"))
+    may = (left["shingle"] == right["shingle"]) & (F.col("ca") < F.col("cb")) & _near_sizes(percent) & within("a", "b") & within("b", "a") & once & enough
     return left.join(right, may).select("a", "b")
 
 
