@@ -1,11 +1,17 @@
 """Main text of web pages by site template removal.
 
-Elements of a page are hashed with all that is below them. Spark counts on how many pages of a host each subtree stands, combined map-side; subtrees that recur on
-at least min_pages pages and a share min_share of the host's pages are the site's template, and a
-second pass over the pages deletes them. The content that a page marks itself (article, else main)
-is never taken for template, as whole articles may be published twice. Structure does the rest:
-elements whose tag, role, class or id says menu, header, footer, sidebar, notice, advert, form,
+Elements of a page are hashed with all that is below them. Spark counts on how many pages of a host
+each subtree stands, combined map-side; subtrees that recur on at least min_pages pages and a share
+min_share of the host's pages are the site's template, and a second pass over the pages deletes
+them, inside the content that a page marks itself (article, main) too. What is protected there: the
+marked element itself; copies, as a subtree counts once for each different marked element that it
+stands in, and as one that would lose more than COPIED of its text keeps all of it; and the insides
+of blocks, as inline elements, list items and parts of tables have no hash of their own there.
+
+Elements whose tag, role, class or id says menu, header, footer, sidebar, notice, advert, form,
 script, style or comment are left out whatever they hold, as they often differ from page to page.
+Of what is left the articles are the text, if they hold at least MARKED of all that is marked (of
+the page, without a main); else all that is marked is, or the page.
 
 Text: character references are decoded, white space within a block becomes one space, blocks are
 trimmed and joined by a blank line; nothing else is dropped. A br is white space within its block.
@@ -32,6 +38,7 @@ from pyspark.sql import functions as F
 from driftline.llm.common import materialise, table
 
 MIN_PAGES, MIN_SHARE = 10, 0.2
+COPIED, MARKED = 0.8, 0.5
 
 TOKEN = re.compile(
     r"""<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"""
@@ -60,17 +67,46 @@ ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}),
     "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"tbody", "thead"}, {"table"}), "tfoot": ({"tbody", "thead"}, {"table"}), "body": ({"head"}, {"body"}),
 }
+#: Blocks that are pieces of a list or a table.
+PIECES = {"caption", "dd", "dt", "legend", "li", "summary", "tbody", "td", "tfoot", "th", "thead", "tr"}
 _P = {"p"}
 P_SCOPE = {"td", "th", "caption", "button", "object", "html", "table"}
 
 
 class _Element:
-    __slots__ = ("holds_marked", "marked", "out", "parts", "start", "tag")
+    __slots__ = ("cut", "holds_marked", "inner", "marked", "out", "parts", "start", "tag")
 
     def __init__(self, tag: str, out: bool, marked: int, start: int):
         self.tag, self.out, self.marked, self.start = tag, out, marked, start
         self.holds_marked = False
         self.parts: list = []
+        #: Of marked elements: the hashes below, and the parts of those that are template.
+        self.inner: list[int] = []
+        self.cut: list[list] = []
+
+
+def _blocks(parts: list) -> list[str]:
+    blocks: list[str] = []
+    run: list[str] = []
+    waiting = [iter((None, parts, None))]
+    while waiting:
+        for x in waiting[-1]:
+            if x is None:
+                if block := " ".join("".join(run).split()):
+                    blocks.append(block)
+                run = []
+            elif isinstance(x, list):
+                waiting.append(iter(x))
+                break
+            else:
+                run.append(x)
+        else:
+            waiting.pop()
+    return blocks
+
+
+def _size(blocks: list[str]) -> int:
+    return sum(map(len, blocks))
 
 
 def _leaves_out(tag: str, attributes: str, marked: int) -> bool:
@@ -87,31 +123,57 @@ def _leaves_out(tag: str, attributes: str, marked: int) -> bool:
     return False
 
 
-def parse(page: str, template: frozenset[int] = frozenset()) -> tuple[set[int], list[str]]:
-    """Hashes of the subtrees beside marked content, and the text blocks that are left without those of the template.
+def parse(page: str, template: frozenset[int] = frozenset(), read: bool = True) -> tuple[dict[int, int | None], list[str]]:
+    """The subtrees' hashes, and the text blocks that are left without those of the template (none unless read).
 
-    A subtree is hashed as it is written, from its start tag to where it ends. Marked content, what
-    encloses it, and what lies within an element that is left out anyway have no hash.
+    A subtree is hashed as it is written, from its start tag to where it ends; with its hash comes
+    the hash of the marked element that it stands in, or None if it stands beside them. Marked
+    elements, what encloses them, and what is left out anyway have no hash.
     """
     stack = [_Element("", False, 0, 0)]
-    hashes: set[int] = set()
+    hashes: dict[int, int | None] = {}
     articles: list[list] = []
-    mains: list[list] = []
+    tops: list[list] = []
+    roots: list[_Element] = []
+    mains = False
+
+    def digest(start: int, end: int) -> int:
+        return xxhash.xxh64_intdigest(page[start:end]) - (1 << 63)
 
     def close(end: int) -> None:
         e = stack.pop()
         up = stack[-1]
-        if e.marked or e.holds_marked:
+        if roots and e is roots[-1]:
+            roots.pop()
             up.holds_marked = True
-            if e.tag == "article" and up.marked < 2:
+            if e.inner:
+                own = digest(e.start, end)
+                for h in e.inner:
+                    hashes.setdefault(h, own)
+            if e.cut and read:
+                whole, kept = _size(_blocks(e.parts)), list(map(list, e.cut))
+                for parts in e.cut:
+                    parts.clear()
+                if _size(_blocks(e.parts)) < (1 - COPIED) * whole:
+                    for parts, was in zip(e.cut, kept, strict=True):
+                        parts += was
+            if e.tag == "article":
                 articles.append(e.parts)
-            elif e.tag == "main" and not up.marked:
-                mains.append(e.parts)
-        elif not up.out:
-            digest = xxhash.xxh64_intdigest(page[e.start : end]) - (1 << 63)
-            hashes.add(digest)
-            if digest in template:
-                return
+            if not up.marked:
+                tops.append(e.parts)
+        elif e.holds_marked:
+            up.holds_marked = True
+        elif not e.out:
+            if not e.marked:
+                h = digest(e.start, end)
+                hashes[h] = None
+                if h in template:
+                    return
+            elif e.tag in BLOCK and e.tag not in PIECES:
+                h = digest(e.start, end)
+                roots[-1].inner.append(h)
+                if h in template:
+                    roots[-1].cut.append(e.parts)
         if not e.out:
             if e.tag in BLOCK:
                 up.parts += (None, e.parts, None)
@@ -169,6 +231,9 @@ def parse(page: str, template: frozenset[int] = frozenset()) -> tuple[set[int],
         out = up.out or _leaves_out(tag, attributes, up.marked)
         marked = 0 if out else 2 if tag == "article" else max(up.marked, tag == "main")
         stack.append(_Element(tag, out, marked, start))
+        if marked > up.marked:
+            roots.append(stack[-1])
+            mains = mains or tag == "main"
         if tag in RAW:
             found = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
             at = found.start() if found else len(page)
@@ -178,24 +243,11 @@ def parse(page: str, template: frozenset[int] = frozenset()) -> tuple[set[int],
         say(page[at:])
     while len(stack) > 1:
         close(len(page))
-    blocks: list[str] = []
-    for parts in articles or mains or [stack[0].parts]:
-        run: list[str] = []
-        waiting = [iter((None, parts, None))]
-        while waiting:
-            for x in waiting[-1]:
-                if x is None:
-                    if block := " ".join("".join(run).split()):
-                        blocks.append(block)
-                    run = []
-                elif isinstance(x, list):
-                    waiting.append(iter(x))
-                    break
-                else:
-                    run.append(x)
-            else:
-                waiting.pop()
-    return hashes, blocks
+    if not read:
+        return hashes, []
+    said = [block for parts in articles for block in _blocks(parts)]
+    around = [block for parts in (tops if mains else [stack[0].parts]) for block in _blocks(parts)]
+    return hashes, said if _size(said) >= MARKED * _size(around) else around
 
 
 def host_of(url: str) -> str:
@@ -208,12 +260,13 @@ def host_of(url: str) -> str:
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
-            hosts, found = [], []
+            hosts, found, within = [], [], []
             for url, page in zip(batch.column(0).slice(at, 500).to_pylist(), batch.column(1).slice(at, 500).to_pylist(), strict=True):
-                own, _ = parse(page or "")
+                own, _ = parse(page or "", read=False)
                 hosts += [host_of(url or "")] * (len(own) + 1)
                 found += [None, *own]
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(found, pa.int64())], names=["host", "subtree"])
+                within += [None, *own.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(found, pa.int64()), pa.array(within, pa.int64())], names=["host", "subtree", "within"])
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,11 +279,13 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """host, template: the hashes of subtrees that recur across the host's pages. A page counts a subtree once."""
-    found = pages.select("url", "html").mapInArrow(_subtrees, "host string, subtree bigint").groupBy("host", "subtree").agg(F.count("*").alias("pages"))
+    """host, template: the hashes of subtrees that recur across the host's pages. A page counts a subtree once, and min_pages counts pages with copies of one marked element as one."""
+    found = pages.select("url", "html").mapInArrow(_subtrees, "host string, subtree bigint, within bigint").groupBy("host", "subtree", "within").agg(F.count("*").alias("n"))
+    places = F.sum(F.when(F.col("within").isNull(), F.col("n")).otherwise(1))
+    found = found.groupBy("host", "subtree").agg(F.sum("n").alias("pages"), places.alias("places")).filter(F.col("subtree").isNull() | (F.col("places") >= min_pages))
     found = materialise(found, "subtrees")
     of_host = found.filter("subtree IS NULL").select("host", F.col("pages").alias("all_pages"))
-    often = found.filter(F.col("subtree").isNotNull() & (F.col("pages") >= min_pages)).join(of_host, "host")
+    often = found.filter(F.col("subtree").isNotNull()).join(of_host, "host")
     return materialise(often.filter(F.col("pages") >= F.lit(min_share) * F.col("all_pages")).groupBy("host").agg(F.collect_list("subtree").alias("template")), "templates")
 
 

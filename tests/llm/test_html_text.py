@@ -38,6 +38,30 @@ def test_template_is_deleted_but_articles_stay(spark, tmp_path):
     assert {r.url for r in found if r.page_id == 200} == {None}
 
 
+def test_template_inside_marked_content(spark, tmp_path):
+    def page(i):
+        story = f"<h1>Head {i}</h1><p>Story {i} <b>Paris</b> words</p><div><p>Read us on every device</p></div><ul><li>common item<li>item {i}</ul>"
+        return f"<main>{story}</main>" if i % 2 else f"<article>{story}</article>"
+
+    copy = "<article><h1>Copied</h1><p>First of it</p><p>Second of it</p><p>Third {}</p></article>"
+    long = "A sentence that all copies of this article have. " * 9
+    rows = [(i, f"http://own.test/{i}", page(i)) for i in range(30)] + [(100 + i, "http://same.test/", copy.format("")) for i in range(30)]
+    rows += [(200 + i, "http://near.test/", f"<article><p>{long}</p><p>Edit {i}</p></article>") for i in range(30)]
+    path = str(tmp_path / "pages.parquet")
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(path)
+    texts = {r.page_id: r.text for r in m.main_text(spark.read.parquet(path)).collect()}
+    assert all(texts[i] == f"Head {i}\n\nStory {i} Paris words\n\ncommon item\n\nitem {i}" for i in range(30))
+    assert all(texts[100 + i] == "Copied\n\nFirst of it\n\nSecond of it\n\nThird" for i in range(30))
+    assert all(texts[200 + i] == f"{long.strip()}\n\nEdit {i}" for i in range(30))
+
+
+def test_small_article_beside_body_text():
+    body, teaser = "<p>Body text of the page in some length</p>", "<article><p>Teaser</p></article>"
+    both = ["Body text of the page in some length", "Teaser"]
+    assert blocks(f"<div>Bar</div><main>{body}{teaser}</main>") == blocks(f"<div>{body}</div>{teaser}") == both
+    assert blocks(f"<p>Bar</p><article>{body}</article>") == both[:1]
+
+
 def test_empty_table(spark, tmp_path):
     path = str(tmp_path / "pages.parquet")
     spark.createDataFrame([], "page_id long, url string, html string").write.parquet(path)
