@@ -69,6 +69,28 @@ def test_folds_oof_stack_and_saved_models(spark, tmp_path):
         learning.infer(bases, meta, df, "other")
 
 
+def test_seeds_trials_and_early_stopping(spark):
+    assert learning.stop_at([5, 4, 3, 4, 3, 3, 1], 3) == (3, True) and learning.stop_at([3, 2, 1, 2], 3) == (3, False)
+    assert all(p["maxIter"] >= 1800 for p in learning.FAMILIES.values())
+    rng = random.Random(2)
+    df = spark.createDataFrame([(i, rng.gauss(i % 2, 0.8), rng.random(), i % 2) for i in range(100)], "id long, x double, w double, label int").cache()
+    params = {"stepSize": 0.5, "maxDepth": 2, "maxIter": 50, "minInstancesPerNode": 4}
+    train, held = df.filter("id < 60"), df.filter("id >= 60")
+    model, trees = learning.fit_stopped(train, held, ["x", "w"], params, 3, 4)
+    longer = learning.fit(train, ["x", "w"], params | {"maxIter": trees}, 3)
+    assert model.stages[1].getNumTrees == trees < 50
+    want = {r.id: r.p for r in learning.score(longer, held).collect()}
+    assert all(abs(want[r.id] - r.p) < 1e-12 for r in learning.score(model, held).collect())
+    small = {"stepSize": 0.3, "maxDepth": 2, "maxIter": 3, "subsamplingRate": 0.6, "minInstancesPerNode": 4}
+    bases, meta = learning.train_stack(df, ["x", "w"], {"xgb_lite": small}, 2, small, seeds=3, top=2, trials=1, patience=2)
+    assert [len(s.top) for s in (*bases, meta)] == [2, 2] and set(bases[0].aucs) == {169, 186, 203} and set(meta.aucs) == {2069, 2086, 2103}
+    for s in (*bases, meta):
+        assert [f.seed for f in s.top] == sorted(s.aucs, key=lambda k: -s.aucs[k])[:2]
+        each = [{r.id: r.p for r in f.oof.collect()} for f in s.top]
+        assert all(abs(r.p - (each[0][r.id] + each[1][r.id]) / 2) < 1e-12 for r in s.oof.collect())
+    assert learning.infer(bases, meta, df.drop("label")).count() == 100
+
+
 def test_parameters():
     assert learning.seed_list(69, 3) == [69, 86, 103]
     assert learning.consensus([{"a": 1, "b": "x"}, {"a": 3, "b": "y"}, {"a": 2, "b": "y"}]) == {"a": 2, "b": "y"}
