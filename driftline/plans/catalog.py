@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -157,21 +158,31 @@ def _seeds_sql(d: Dialect) -> tuple[list[str], str]:
     ], "SELECT id, round(avg(p), 6) AS p FROM preds JOIN pb ON preds.seed = pb.seed GROUP BY id"
 
 
-_SMALL = {"stepSize": 0.1, "maxDepth": 3, "maxIter": 5, "subsamplingRate": 0.8, "minInstancesPerNode": 4}
-
-
 def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = feature_frame(spark, sf_dir)
     return f.join(_labels(f), "id").na.fill(0.0)
 
 
+def _all_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
+    """All features with the label, and the features' names."""
+    f = build_features(spark, sf_dir, E1)
+    return f.join(_labels(f), "id").na.fill(0.0), [c for c in f.columns if c != "id"]
+
+
+#: The whole job: seeds, random search and early stopping as the operators' constants say.
+_SEEDS = {"seeds": learning.SEEDS, "top": learning.TOP_SEEDS, "trials": learning.TRIALS, "patience": learning.PATIENCE}
+
+
 def _oof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return learning.train_base(_rows(spark, sf_dir), COLUMNS, "xgb_lite", folds=3, params=_SMALL).oof
+    """family, id, p of all four families."""
+    rows, columns = _all_rows(spark, sf_dir)
+    found = [learning.train_seeds(rows, columns, f, learning.SEED + 100 * (i + 1), folds=learning.FOLDS, **_SEEDS) for i, f in enumerate(learning.FAMILIES)]
+    return reduce(DataFrame.unionByName, [s.oof.select(F.lit(s.family).alias("family"), "id", "p") for s in found])
 
 
 def _stacked(spark: SparkSession, sf_dir: str):
-    rows = _rows(spark, sf_dir)
-    return (*learning.train_stack(rows, COLUMNS, {"xgb_lite": _SMALL, "lgb_main": _SMALL | {"maxDepth": 2}}, 2, _SMALL | {"maxDepth": 2}), rows)
+    rows, columns = _all_rows(spark, sf_dir)
+    return (*learning.train_stack(rows, columns, learning.FAMILIES, learning.FOLDS, learning.META, **_SEEDS), rows)
 
 
 def _meta(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -91,6 +91,27 @@ def test_seeds_trials_and_early_stopping(spark):
     assert learning.infer(bases, meta, df.drop("label")).count() == 100
 
 
+def test_learner_queries_do_the_whole_job(monkeypatch):
+    from types import SimpleNamespace
+
+    from driftline.plans import catalog
+
+    calls = []
+
+    class Frame:
+        def __getattr__(self, name):
+            return lambda *a, **k: self
+
+    columns = ["a", "b"]
+    monkeypatch.setattr(catalog, "_all_rows", lambda spark, sf_dir: (Frame(), columns))
+    monkeypatch.setattr(learning, "train_stack", lambda *a, **k: (calls.append((a[1:], k)), ([], SimpleNamespace(oof=None)))[1])
+    monkeypatch.setattr(learning, "infer", lambda *a: None)
+    for q in ("meta_oof", "infer_full", "infer_fold"):
+        catalog.queries()[q](None, "")
+    whole = {"seeds": 3, "top": 2, "trials": 5, "patience": 100}
+    assert calls == [((columns, learning.FAMILIES, 5, learning.META), whole)] * 3
+
+
 def test_parameters():
     assert learning.seed_list(69, 3) == [69, 86, 103]
     assert learning.consensus([{"a": 1, "b": "x"}, {"a": 3, "b": "y"}, {"a": 2, "b": "y"}]) == {"a": 2, "b": "y"}
