@@ -4,8 +4,9 @@ Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kep
 return the columns of documents. docs is a stored table: decisions about rows come back to it by
 the row's number in the scan, which is the same each time that the table is read.
 
-1. language: rows without a determinable language (no text or no letter) go; others stay whatever
-   their language or score.
+1. language: rows without a letter go, and rows whose predicted language is little better than a
+   guess to the network (a score under a tenth of the way from 1 / languages to 1); others stay, in
+   any language. Without labels to learn from, all rows with a letter stay.
 2. exact: of texts equal up to white space, the row with the smallest doc_id stays.
 3. near: of documents linked by five-word shingles at a similarity of 0.8 or more, one stays.
 4. mix: rows are repeated to the sources' target weights and shuffled.
@@ -28,7 +29,7 @@ def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, language_id.undetermined(docs))
+    return _without(docs, language_id.rejected(docs))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -36,6 +36,8 @@ SAMPLE_ROWS, SAMPLE_WORDS = 2000, 6000
 EMBED, HIDDEN, STEPS, BATCH, RATE, SEED = 12, 16, 400, 256, 0.01, 5
 #: A word's bytes beyond this are read as further segments.
 SEGMENT, POOL, CACHE_WORDS = 24, 0.25, 300_000
+#: The pipeline keeps texts whose label's score is at least so far from a guess (0) to certainty (1).
+LEAST_MARGIN = 0.1
 UNDETERMINED = "und"
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
 _TO_SPACE = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -268,10 +270,14 @@ def identify(docs: DataFrame) -> DataFrame:
     return predict(docs, fitted(docs), ["doc_id"]).select("doc_id", _held_out().alias("held_out"), "lang_pred", "score")
 
 
-def undetermined(docs: DataFrame) -> DataFrame:
-    """row, the monotonically_increasing_id() in docs, of the rows whose language can't be determined."""
+def rejected(docs: DataFrame, least: float = LEAST_MARGIN) -> DataFrame:
+    """row, the monotonically_increasing_id() in docs, of the rows without a letter and of those whose label's score is less than least of the way from a guess to 1; without a model only of the former."""
     numbered = docs.select("text", F.monotonically_increasing_id().alias("row"))
-    return predict(numbered, fitted(docs), ["row"]).filter(F.col("lang_pred") == UNDETERMINED).select("row")
+    model = fitted(docs)
+    if not model[0]:
+        return numbered.filter(F.col("text").isNull() | ~F.col("text").cast("string").rlike(r"\p{L}")).select("row")
+    guess = 1 / len(model[0])
+    return predict(numbered, model, ["row"]).filter((F.col("lang_pred") == UNDETERMINED) | (F.col("score") < guess + least * (1 - guess))).select("row")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

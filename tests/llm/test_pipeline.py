@@ -20,6 +20,23 @@ def test_stages_keep_columns_and_take_effect(spark, stored, awkward):
     assert Counter(r.doc_id for r in packed if r.start == 0) == sizes["mix"]
 
 
+def test_language_stage_without_labels_keeps_lettered_rows(spark, stored):
+    rows = [(1, "words without a label", None, "a"), (2, "12 34", None, "a"), (3, None, None, "a"), (4, "é", None, "a")]
+    assert {r.doc_id for r in p.language(spark, stored(rows), "").collect()} == {1, 4}
+
+
+def test_language_stage_rejects_by_score(spark, stored):
+    rows = [(i, text, lang, "a") for i, (text, lang) in enumerate([("the and of to in that", "en"), ("der die und das nicht mit", "de"), ("el los que una por para", "es")] * 20)]
+    docs = stored([*rows, (100, "qq", None, "a")])
+    found = {r.doc_id: r.score for r in p.language_id.identify(docs).collect()}
+    assert {r.doc_id for r in p.language(spark, docs, "").collect()} >= set(range(60))
+    margin = (found[100] - 1 / 3) * 3 / 2
+    for least in (margin - 1e-6, margin + 1e-6):
+        numbers = {r.row for r in p.language_id.rejected(docs, least).collect()}
+        kept = {r.doc_id for r in docs.withColumn("row", p.F.monotonically_increasing_id()).collect() if r.row not in numbers}
+        assert (100 in kept) == (least < margin)
+
+
 def test_run_on_small_table(spark, stored, awkward, tmp_path):
     stored(awkward).write.parquet(f"{tmp_path}/documents.parquet")
     assert p.run(spark, str(tmp_path)).count() > 0
