@@ -6,8 +6,8 @@ node of the tree has many different children that rarely repeat, they are one wi
 sibling branches are merged into `+` if they look alike: the same depth and leading template below
 them, and shares of blocked, allowed and unlabelled URLs that do not differ from those of all such
 siblings by a z-test. A template's purity is its share of blocked URLs among the labelled ones,
-smoothed by STRENGTH URLs of the overall share; templates of at least BLOCK_PURITY, of which at
-least MIN_LABELLED of the URLs are labelled, are rejected.
+smoothed by STRENGTH URLs of the overall share; templates of at least BLOCK_PURITY are rejected,
+however few of their URLs are labelled, but not those without any label.
 
 Labels are the verdicts of given rules (host, path), or come with the input. A rule's own verdict
 always stands: it fits its host and all subdomains if the path starts with the rule's; the longest
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from driftline.llm.common import materialise, table
 
 MAX_DEPTH, MANY, RARE = 8, 20, 0.3
-STRENGTH, BLOCK_PURITY, MIN_LABELLED, Z = 5.0, 0.9, 0.5, 3.0
+STRENGTH, BLOCK_PURITY, Z = 5.0, 0.9, 3.0
 
 #: verdict, host, path
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
@@ -106,7 +106,7 @@ def merged(tree: DataFrame, z: float = Z) -> DataFrame:
     return tree
 
 
-def judged(tree: DataFrame, strength: float = STRENGTH, purity: float = BLOCK_PURITY, labelled: float = MIN_LABELLED) -> DataFrame:
+def judged(tree: DataFrame, strength: float = STRENGTH, purity: float = BLOCK_PURITY) -> DataFrame:
     """host, path, template as a string, purity, rejected."""
     tree = materialise(tree.select("host", "path", "n", "blocked", "allowed", F.concat(F.lit("/"), F.array_join("template", "/")).alias("template")), "merged")
     blocked, allowed = tree.agg(F.sum("blocked"), F.sum("allowed")).first()
@@ -114,7 +114,7 @@ def judged(tree: DataFrame, strength: float = STRENGTH, purity: float = BLOCK_PU
     sums = tree.groupBy("host", "template").agg(*(F.sum(c).alias(c) for c in ("n", "blocked", "allowed")))
     known = F.col("blocked") + F.col("allowed")
     rated = sums.withColumn("purity", (F.col("blocked") + F.lit(strength * overall)) / (known + F.lit(float(strength))))
-    rated = rated.select("host", "template", "purity", ((F.col("purity") >= purity) & (known >= labelled * F.col("n"))).alias("rejected"))
+    rated = rated.select("host", "template", "purity", ((F.col("purity") >= purity) & (known > 0)).alias("rejected"))
     return tree.select("host", "path", "template").join(materialise(rated, "rated"), ["host", "template"])
 
 

@@ -54,6 +54,14 @@ def test_purity_rejects_what_is_like_the_blocked(pages):
     assert not any(v for (h, p), v in found.items() if h == "ok.test" or p.startswith("/news"))
 
 
+def test_purity_decides_with_few_labels(pages):
+    rows = pages([f"http://spam.test/win/{i}-prize" for i in range(200)] + [f"http://ok.test/new/{i}-x" for i in range(100)] + [f"http://none.test/new/{i}" for i in range(100)])
+    host, path = m.host_and_path(F.col("url"))
+    label = F.when(F.col("page_id") < 80, "block").when((F.col("page_id") >= 200) & (F.col("page_id") < 210), "allow")
+    found = m.judged(m.merged(m.templates(rows.select(host.alias("host"), path.alias("path"), label.alias("label"))))).collect()
+    assert {r.host for r in found if r.rejected} == {"spam.test"} and sum(r.rejected for r in found) == 200
+
+
 def test_wildcards(pages):
     urls = [f"http://h/user/name{'abcdefghijklmnopqrstuvwxyz'[i % 26]}{'qwertyuiop'[i // 26]}x/profile" for i in range(80)] + ["http://h/about/us"] * 5
     host, path = m.host_and_path(F.col("url"))
