@@ -14,8 +14,9 @@ always stands: it fits its host and all subdomains if the path starts with the r
 rule wins.
 
 Hot hosts: all counts are combined map-side; tables of nodes are written, so that joins with them
-are broadcast only under Spark's limit, else split by adaptive execution. Paths beyond MAX_DEPTH
-segments end in one segment `**`.
+are broadcast only under Spark's limit, else split by adaptive execution. Depth has no limit: levels
+are taken while a node has more than MANY paths below it, as no other can have so many children, and
+merged while a host has two templates so deep. Plans are cut every LEVELS levels.
 
 Defined results: a null url, or one without ://, has an empty host and path, for which no rule
 holds. Repeated rows and null page_ids are rows of their own; an empty table gives an empty result.
@@ -24,12 +25,12 @@ Other columns are left alone.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftline.llm.common import materialise, table
 
-MAX_DEPTH, MANY, RARE = 8, 20, 0.3
+MANY, RARE, LEVELS = 20, 0.3, 6
 STRENGTH, BLOCK_PURITY, Z = 5.0, 0.9, 3.0
 
 #: verdict, host, path
@@ -53,40 +54,44 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tu
     return name, verdict
 
 
-def _segments(path: Column, depth: int) -> Column:
-    parts = F.filter(F.split(path, "/", -1), lambda s: s != "")
-    return F.when(F.size(parts) > depth, F.concat(F.slice(parts, 1, depth), F.array(F.lit("**")))).otherwise(parts)
-
-
 def _plain(segment: Column) -> Column:
     hexed = F.regexp_replace(segment, r"(?i)\b(?=[0-9a-f-]*[0-9])[0-9a-f-]{12,}\b", "%")
     return F.regexp_replace(hexed, r"[0-9]+", "#")
 
 
-def templates(urls: DataFrame, max_depth: int = MAX_DEPTH, many: int = MANY, rare: float = RARE) -> DataFrame:
+def templates(urls: DataFrame, many: int = MANY, rare: float = RARE) -> DataFrame:
     """host, path, n, blocked, allowed and template (an array of segments) of each distinct (host, path) of urls (host, path, label)."""
     one = lambda says: F.count_if(F.col("label") == says)
     paths = urls.groupBy("host", "path").agg(F.count("*").alias("n"), one("block").alias("blocked"), one("allow").alias("allowed"))
-    paths = materialise(paths.withColumn("segments", _segments(F.col("path"), max_depth)), "paths")
-    deepest = paths.agg(F.max(F.size("segments"))).first()[0] or 0
-    tree = paths.withColumn("node", F.array().cast("array<string>"))
-    for i in range(deepest):
-        tree = tree.withColumn("segment", _plain(F.get("segments", F.lit(i))))
-        children = tree.filter(F.col("segment").isNotNull()).groupBy("host", "node", "segment").agg(F.sum("n").alias("n"))
-        wide = children.groupBy("host", "node").agg(F.count("*").alias("children"), F.sum("n").alias("urls"))
-        wide = wide.filter((F.col("children") > many) & (F.col("children") > rare * F.col("urls"))).select("host", "node", F.lit(True).alias("varies"))
-        tree = tree.join(materialise(wide, "varies"), ["host", "node"], "left")
+    segments = F.transform(F.filter(F.split("path", "/", -1), lambda s: s != ""), _plain)
+    tree = materialise(paths.withColumns({"segments": segments, "node": F.array().cast("array<string>")}), "paths")
+    i = 0
+    while True:
+        tree = tree.withColumn("segment", F.get("segments", F.lit(i)))
+        children = tree.filter(F.col("segment").isNotNull()).groupBy("host", "node", "segment").agg(F.sum("n").alias("n"), F.count("*").alias("paths"))
+        nodes = children.groupBy("host", "node").agg(F.count("*").alias("children"), F.sum("n").alias("urls"), F.sum("paths").alias("paths"))
+        nodes = materialise(nodes.filter(F.col("paths") > many).drop("paths"), "varies")
+        if nodes.isEmpty():  # no node from here on can have so many children
+            break
+        wide = nodes.filter((F.col("children") > many) & (F.col("children") > rare * F.col("urls"))).select("host", "node", F.lit(True).alias("varies"))
+        tree = tree.join(wide, ["host", "node"], "left")
         step = F.when(F.col("segment").isNull(), F.array().cast("array<string>")).otherwise(F.array(F.when(F.col("varies"), F.lit("*")).otherwise(F.col("segment"))))
         tree = tree.withColumn("node", F.concat("node", step)).drop("varies", "segment")
-    return materialise(tree.withColumnRenamed("node", "template").drop("segments"), "tree")
+        i += 1
+        if i % LEVELS == 0:
+            tree = materialise(tree, "levels")
+    rest = F.when(F.size("segments") > i, F.slice("segments", F.lit(i + 1), F.size("segments"))).otherwise(F.array().cast("array<string>"))
+    return materialise(tree.withColumn("template", F.concat("node", rest)).drop("segments", "segment", "node"), "tree")
 
 
 def merged(tree: DataFrame, z: float = Z) -> DataFrame:
     """tree with the segments of branches that look like their siblings replaced by `+`, level by level."""
-    deepest = tree.agg(F.max(F.size("template"))).first()[0] or 0
+    sizes = tree.groupBy("host", "template").agg(F.size("template").alias("size")).groupBy("host", "size").agg(F.count("*").alias("n"))
+    two = F.sum("n").over(Window.partitionBy("host").orderBy(F.desc("size"))) >= 2
+    deepest = sizes.withColumn("two", two).filter("two").agg(F.max("size")).first()[0] or 0
     for i in range(deepest):
         inner = F.size("template") > i
-        keyed = tree.withColumns({"up": F.when(inner, F.slice("template", 1, i)), "branch": F.when(inner, F.get("template", F.lit(i))), "below": F.when(inner, F.expr(f"slice(template, {i + 2}, 64)"))})
+        keyed = tree.withColumns({"up": F.when(inner, F.slice("template", 1, i)), "branch": F.when(inner, F.get("template", F.lit(i))), "below": F.when(inner, F.expr(f"slice(template, {i + 2}, size(template))"))})
         shapes = keyed.filter("branch IS NOT NULL").groupBy("host", "up", "branch", "below").agg(*(F.sum(c).alias(c) for c in ("n", "blocked", "allowed")))
         branches = shapes.groupBy("host", "up", "branch").agg(
             F.max(F.struct("n", F.to_json("below").alias("below"))).alias("most"), F.max(F.size("below")).alias("depth"), *(F.sum(c).alias(c) for c in ("n", "blocked", "allowed"))
@@ -103,6 +108,8 @@ def merged(tree: DataFrame, z: float = Z) -> DataFrame:
         tree = keyed.join(materialise(merge, "merges"), ["host", "up", "branch"], "left").withColumn(
             "template", F.when(F.col("merges"), F.concat("up", F.array(F.lit("+")), "below")).otherwise(F.col("template"))
         ).drop("up", "branch", "below", "merges")
+        if (i + 1) % LEVELS == 0:
+            tree = materialise(tree, "levels")
     return tree
 
 

@@ -62,6 +62,17 @@ def test_purity_decides_with_few_labels(pages):
     assert {r.host for r in found if r.rejected} == {"spam.test"} and sum(r.rejected for r in found) == 200
 
 
+def test_templates_differ_beyond_the_eighth_segment(pages):
+    deep = "http://h.test/a/b/c/d/e/f/g/h"
+    rows = pages([f"{deep}/bad/{i}x" for i in range(30)] + [f"{deep}/good/{i}x" for i in range(30)] + ["http://far.test/" + "y/" * 300])
+    host, path = m.host_and_path(F.col("url"))
+    label = F.when(F.col("page_id") < 30, "block").when(F.col("page_id") < 60, "allow")
+    tree = m.templates(rows.select(host.alias("host"), path.alias("path"), label.alias("label")))
+    assert {len(r.template) for r in tree.collect()} == {10, 300}
+    found = {(r.host, r.path): r.rejected for r in m.judged(m.merged(tree)).collect()}
+    assert len(found) == 61 and all(v == ("/bad/" in p) for (_, p), v in found.items())
+
+
 def test_wildcards(pages):
     urls = [f"http://h/user/name{'abcdefghijklmnopqrstuvwxyz'[i % 26]}{'qwertyuiop'[i // 26]}x/profile" for i in range(80)] + ["http://h/about/us"] * 5
     host, path = m.host_and_path(F.col("url"))
