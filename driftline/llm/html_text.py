@@ -2,8 +2,8 @@
 
 Elements of a page are hashed with all that is below them. Spark counts on how many pages of a host
 each subtree stands, combined map-side; subtrees that recur on at least min_pages pages and a share
-min_share of the host's pages are the site's template, and a second pass over the pages deletes
-them, inside the content that a page marks itself (article, main) too. What is protected there: the
+min_share of the host's pages, or of those of a section (the first segment of the path), are the
+site's template, and a second pass over the pages deletes them, inside the content that a page marks itself (article, main) too. What is protected there: the
 marked element itself; copies, as a subtree counts once for each different marked element that it
 stands in, and as one that would lose more than COPIED of its text keeps all of it; and the insides
 of blocks, as inline elements, list items and parts of tables have no hash of their own there.
@@ -16,8 +16,11 @@ the page, without a main); else all that is marked is, or the page.
 Text: character references are decoded, white space within a block becomes one space, blocks are
 trimmed and joined by a blank line; nothing else is dropped. A br is white space within its block.
 
-Templates are a few hashes a host (at most 1 / min_share times the mean number of subtrees of a
-page); they are written, so that their size is known when Spark picks the join.
+Templates are a few hashes a host or section (at most 1 / min_share times the mean number of subtrees
+of a page); they are written, so that their size is known when Spark picks the join.
+
+Hosts of fewer than min_pages pages have no template, as too few pages tell what recurs; marks, tags
+and classes alone decide there.
 
 Defined results: a null page or url counts as empty; text is empty if nothing is left. Repeated
 rows are pages of their own, null page_ids stay. Tags left open, stray ends and unclosed comments
@@ -257,16 +260,23 @@ def host_of(url: str) -> str:
     return found.encode().lower().decode()
 
 
+def section_of(url: str) -> str:
+    """The first segment of the path, if more follows it; else empty."""
+    found = re.match(r"[^/?#]*/+([^/?#]+)/+[^/?#]", url.partition("://")[2])
+    return found[1] if found else ""
+
+
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
-            hosts, found, within = [], [], []
+            hosts, sections, found, within = [], [], [], []
             for url, page in zip(batch.column(0).slice(at, 500).to_pylist(), batch.column(1).slice(at, 500).to_pylist(), strict=True):
                 own, _ = parse(page or "", read=False)
                 hosts += [host_of(url or "")] * (len(own) + 1)
+                sections += [xxhash.xxh64_intdigest(section_of(url or "")) - (1 << 63)] * (len(own) + 1)
                 found += [None, *own]
                 within += [None, *own.values()]
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(found, pa.int64()), pa.array(within, pa.int64())], names=["host", "subtree", "within"])
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), *(pa.array(c, pa.int64()) for c in (sections, found, within))], names=["host", "section", "subtree", "within"])
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,14 +289,19 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """host, template: the hashes of subtrees that recur across the host's pages. A page counts a subtree once, and min_pages counts pages with copies of one marked element as one."""
-    found = pages.select("url", "html").mapInArrow(_subtrees, "host string, subtree bigint, within bigint").groupBy("host", "subtree", "within").agg(F.count("*").alias("n"))
-    places = F.sum(F.when(F.col("within").isNull(), F.col("n")).otherwise(1))
-    found = found.groupBy("host", "subtree").agg(F.sum("n").alias("pages"), places.alias("places")).filter(F.col("subtree").isNull() | (F.col("places") >= min_pages))
-    found = materialise(found, "subtrees")
-    of_host = found.filter("subtree IS NULL").select("host", F.col("pages").alias("all_pages"))
-    often = found.filter(F.col("subtree").isNotNull()).join(of_host, "host")
-    return materialise(often.filter(F.col("pages") >= F.lit(min_share) * F.col("all_pages")).groupBy("host").agg(F.collect_list("subtree").alias("template")), "templates")
+    """host, template: the hashes of subtrees that recur across the host's pages, or across those of a section. A page counts a subtree once, and min_pages counts pages with copies of one marked element as one."""
+    found = pages.select("url", "html").mapInArrow(_subtrees, "host string, section bigint, subtree bigint, within bigint")
+    found = materialise(found.groupBy("host", "section", "subtree", "within").agg(F.count("*").alias("n")), "subtrees")
+
+    def recurring(by: list[str]) -> DataFrame:
+        places = F.sum(F.when(F.col("within").isNull(), F.col("n")).otherwise(1))
+        each = found.groupBy(*by, "subtree", "within").agg(F.sum("n").alias("n")).groupBy(*by, "subtree").agg(F.sum("n").alias("pages"), places.alias("places"))
+        each = materialise(each.filter(F.col("subtree").isNull() | (F.col("places") >= min_pages)), "recurring")
+        whole = each.filter("subtree IS NULL").select(*by, F.col("pages").alias("all_pages"))
+        return each.filter(F.col("subtree").isNotNull()).join(whole, by).filter(F.col("pages") >= F.lit(min_share) * F.col("all_pages")).select("host", "subtree")
+
+    often = recurring(["host"]).union(recurring(["host", "section"]))
+    return materialise(often.groupBy("host").agg(F.collect_set("subtree").alias("template")), "templates")
 
 
 def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:

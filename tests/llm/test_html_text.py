@@ -55,6 +55,15 @@ def test_template_inside_marked_content(spark, tmp_path):
     assert all(texts[200 + i] == f"{long.strip()}\n\nEdit {i}" for i in range(30))
 
 
+def test_template_of_a_section(spark, tmp_path):
+    rows = [(i, f"http://big.test/{'news' if i < 12 else 'shop'}/{i}", f"<div>{'Editor of the day' if i < 12 else i}</div><p>Text {i}</p>") for i in range(120)]
+    path = str(tmp_path / "pages.parquet")
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(path)
+    texts = {r.page_id: r.text for r in m.main_text(spark.read.parquet(path)).collect()}
+    assert all(texts[i] == f"Text {i}" for i in range(12)) and texts[12] == "12\n\nText 12"
+    assert [m.section_of(u) for u in ("http://h/a/b?x", "http://h/a", "http://h/a/", "", "http://h//a//b/c")] == ["a", "", "", "", "a"]
+
+
 def test_small_article_beside_body_text():
     body, teaser = "<p>Body text of the page in some length</p>", "<article><p>Teaser</p></article>"
     both = ["Body text of the page in some length", "Teaser"]
