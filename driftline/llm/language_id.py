@@ -8,8 +8,9 @@ therefore read once in a task and their positions' results kept in a bounded cac
 between words have no label. A document pools all of its positions: the sums of the positions'
 log probabilities, weighted by POOL, give document probabilities by a softmax.
 
-Training takes a bounded sample: at most sample_rows labelled documents, chosen by a hash of their
-doc_id, and at most sample_words words of each language. Prediction sees whole texts only; lang,
+Training takes a bounded sample: of each language an equal part of sample_rows labelled documents
+(LEAST_ROWS at least), chosen by a hash of their doc_id, at most doc_words random words of each
+document and at most sample_words words of each language; of a long word a random segment. Prediction sees whole texts only; lang,
 source and doc_id are never part of it. The weights, some 30 KB, travel with the task.
 
 Defined results: a null text, and one without a letter, gets `und` with score 0. Null labels are
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from driftline.llm.common import table
 
-SAMPLE_ROWS, SAMPLE_WORDS = 2000, 6000
+SAMPLE_ROWS, SAMPLE_WORDS, DOC_WORDS, LEAST_ROWS = 2000, 6000, 200, 20
 EMBED, HIDDEN, STEPS, BATCH, RATE, SEED = 12, 16, 400, 256, 0.01, 5
 #: A word's bytes beyond this are read as further segments.
 SEGMENT, POOL, CACHE_WORDS = 24, 0.25, 300_000
@@ -148,7 +149,7 @@ def train(words: dict[str, list[bytes]], seed: int = SEED, steps: int = STEPS) -
     first, second = ({k: np.zeros_like(v) for k, v in net.w.items()} for _ in range(2))
     for step in range(1, steps + 1 if langs else 1):
         y = np.array([rng.randrange(len(langs)) for _ in range(BATCH)])
-        parts = [segments(rng.choice(words[langs[k]]))[0] for k in y]
+        parts = [rng.choice(segments(rng.choice(words[langs[k]]))) for k in y]
         _, g = net.gradients(*_matrix(parts), y)
         rate = RATE * min(1.0, 2 * (1 - (step - 1) / steps))
         for k, v in g.items():
@@ -221,17 +222,21 @@ def held_out(doc_id) -> bool:
     return zlib.crc32(str(doc_id).encode()) % 4 == 2
 
 
-def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_words: int = SAMPLE_WORDS, seed: int = SEED) -> tuple[list[str], dict[str, np.ndarray]]:
+def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_words: int = SAMPLE_WORDS, seed: int = SEED, doc_words: int = DOC_WORDS) -> tuple[list[str], dict[str, np.ndarray]]:
     """Train on a bounded sample of (text, lang); labelled has doc_id too, by whose hash rows are chosen."""
     labelled = labelled.filter("lang IS NOT NULL AND text IS NOT NULL")
-    n = labelled.count()
+    counts = {r.lang: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    if not counts:
+        return train({}, seed)
+    quota = max(LEAST_ROWS, sample_rows // len(counts))
+    bound = F.element_at(F.create_map(*(F.lit(x) for k, n in sorted(counts.items()) for x in (k, quota * 0.9 / n))), F.col("lang"))
     share = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    chosen = labelled.filter(share <= F.lit(sample_rows * 0.9 / max(1, n))).select("doc_id", "text", "lang").limit(sample_rows)
+    chosen = labelled.filter(share <= bound).select("doc_id", "text", "lang").limit(max(sample_rows, quota * len(counts)))
     words: dict[str, list[bytes]] = {}
     rng = random.Random(seed)
     for row in sorted(chosen.collect(), key=lambda r: (str(r.doc_id), r.text)):
         own = words_of(row.text.encode())
-        words.setdefault(row.lang, []).extend(rng.sample(own, min(len(own), 200)))
+        words.setdefault(row.lang, []).extend(rng.sample(own, min(len(own), doc_words)))
     words = {k: rng.sample(v, min(len(v), sample_words)) for k, v in sorted(words.items())}
     return train(words, seed)
 

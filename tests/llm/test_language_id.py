@@ -63,6 +63,21 @@ def test_positions_are_labelled(spark, stored):
     assert all(lang == "aa" for a, lang, _ in at if a < 6)
 
 
+def test_sample_is_drawn_per_language(spark, stored, monkeypatch):
+    rows = [(i, "ka mo ti", "aa", "s") for i in range(3000)] + [(5000 + i, "sch ein ung", "bb", "s") for i in range(3)]
+    monkeypatch.setattr(m, "train", lambda words, seed: words)
+    words = m.fit(stored(rows), sample_rows=40, doc_words=2)
+    assert len(words["bb"]) == 6 and 0 < len(words["aa"]) <= 80
+
+
+def test_all_segments_of_a_word_are_learned(monkeypatch):
+    seen = set()
+    whole = m.BiGRU.gradients
+    monkeypatch.setattr(m.BiGRU, "gradients", lambda net, x, n, y: (seen.update(bytes(r[:3]) for r in x), whole(net, x, n, y))[1])
+    m.train({"aa": [b"a" * 24 + b"b" * 24]}, steps=2)
+    assert seen == {b" aa", b" bb"}
+
+
 def test_no_rows_and_no_labels(spark, stored):
     assert m.identify(stored([])).count() == 0
     assert [r.lang_pred for r in m.identify(stored([(1, "abc", None, "s")])).collect()] == ["und"]
