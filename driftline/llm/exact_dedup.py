@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from driftline.llm.common import materialise, table
+from driftline.llm.common import free, materialise, table
 
 BLOCK_BYTES = 2048
 
@@ -71,9 +71,10 @@ def _named(rows: DataFrame, keys: list[str], label: str) -> DataFrame:
     return rows.join(names, keys)
 
 
-def identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES, row: str | None = None) -> DataFrame:
     """One row per document: rid, doc_id, text_sha256, n_blocks, name. (n_blocks, name) is the text's identity."""
-    numbered = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rid = F.col(f"`{row}`").cast("long") if row else F.monotonically_increasing_id()
+    numbered = docs.select(rid.alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     cut = numbered.mapInArrow(_cut(block_bytes), _OUT_DDL)
     # A block comes once from each batch at most, so that the rows of one block stay few.
     sorted_blocks = cut.repartition("block").sortWithinPartitions("block").withColumn("i", F.monotonically_increasing_id())
@@ -91,7 +92,9 @@ def identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
             F.coalesce(F.max(F.when(F.col("pos") % 2 == 1, F.col("name"))), F.lit(-1)).alias("right"),
         )
         width *= 2
-        named_pairs = materialise(_named(materialise(pairs, "pairs"), ["left", "right"], "names").select("rid", "pos", "n", "name"), "level")
+        pairs = materialise(pairs, "pairs")
+        named_pairs = materialise(_named(pairs, ["left", "right"], "names").select("rid", "pos", "n", "name"), "level")
+        free(pairs)
         ended.append(named_pairs.filter(F.col("n") <= width).select("rid", "name"))
         rows = named_pairs.filter(F.col("n") > width)
     if ended:
@@ -106,9 +109,12 @@ def identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     return out.select("rid", "doc_id", "text_sha256", "n_blocks", "name")
 
 
-def exact_duplicates(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256, row for every row of docs; row is its monotonically_increasing_id()."""
-    ids = materialise(identities(docs, block_bytes), "identities")
+def exact_duplicates(docs: DataFrame, block_bytes: int = BLOCK_BYTES, row: str | None = None) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256, row for every row of docs.
+
+    row names the rows: the values of the column that is given as row, or numbers of this run's own.
+    """
+    ids = materialise(identities(docs, block_bytes, row), "identities")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
     groups = ids.groupBy("n_blocks", "name").agg(F.min(order).alias("first"), F.count("*").alias("size")).filter("size > 1")
     found = ids.join(materialise(groups, "groups"), ["n_blocks", "name"], "left")

@@ -275,14 +275,27 @@ def identify(docs: DataFrame) -> DataFrame:
     return predict(docs, fitted(docs), ["doc_id"]).select("doc_id", _held_out().alias("held_out"), "lang_pred", "score")
 
 
-def rejected(docs: DataFrame, least: float = LEAST_MARGIN) -> DataFrame:
-    """row, the monotonically_increasing_id() in docs, of the rows without a letter and of those whose label's score is less than least of the way from a guess to 1; without a model only of the former."""
-    numbered = docs.select("text", F.monotonically_increasing_id().alias("row"))
-    model = fitted(docs)
-    if not model[0]:
-        return numbered.filter(F.col("text").isNull() | ~F.col("text").cast("string").rlike(r"\p{L}")).select("row")
-    guess = 1 / len(model[0])
-    return predict(numbered, model, ["row"]).filter((F.col("lang_pred") == UNDETERMINED) | (F.col("score") < guess + least * (1 - guess))).select("row")
+def stays(docs: DataFrame, least: float = LEAST_MARGIN) -> F.Column:
+    """Whether a row of docs has a letter and a label whose score is at least `least` of the way from a guess to 1; without a model, whether it has a letter.
+
+    A condition on the text alone, judged in the scan that keeps or drops the row.
+    """
+    langs, weights = fitted(docs)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    if not langs:
+        return text.rlike(r"\p{L}")
+    enough = 1 / len(langs) + least * (1 - 1 / len(langs))
+
+    @F.arrow_udf("boolean")
+    def judged(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        reader = Reader(langs, weights)
+        for batch in batches:
+            said = []
+            for at in range(0, len(batch), 1000):
+                said += [lang != UNDETERMINED and score >= enough for lang, score in reader.documents(batch.slice(at, 1000).cast(pa.binary()).to_pylist())]
+            yield pa.array(said, pa.bool_())
+
+    return judged(text)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

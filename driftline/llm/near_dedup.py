@@ -1,8 +1,9 @@
 """Near duplicates by circulant MinHash, banding and exact verification.
 
-A document's set are the hashes of its distinct word shingles. One permutation of the 32-bit
-universe places the shingles; a second one, circularly shifted by k = 0, 1, ..., gives the k-th
-signature coordinate as the least image of the set. Two permutations so replace hundreds. The
+A document's set are the 64-bit hashes of its distinct word shingles (two different shingles in a
+pair of documents of n each have one hash with a chance of n^2 / 2^64). One permutation of the
+32-bit universe places the shingles; a second one, circularly shifted by k = 0, 1, ..., gives the
+k-th signature coordinate as the least image of the set. Two permutations so replace hundreds. The
 coordinates are cut into bands, and documents that share a band are candidates; the number of bands
 is chosen so that a pair at the threshold is missed with a chance below MISS. Every link rests on
 the full sets of both documents: 100 * intersection >= percent * union.
@@ -10,12 +11,11 @@ the full sets of both documents: 100 * intersection >= percent * union.
 Large groups. Documents of equal sets are one node from the start. In each band bucket the members
 are verified against one leader only (a star): the member that shares the most bands with others,
 as the text that the others were copied from does, so that the star joins most of a group of
-copies. Buckets whose other members then still lie in several components get an exact search: such
-nodes are compared if they lie in different components, share one of the rarest shingles that a
-pair at the threshold must share (prefix filtering, with frequencies within these nodes), and have
-few enough shingles that no other of these nodes has: with u of them, a set of n shares n - u with
-another at most, and the union holds the other's set and u more. No bucket is capped and no pair at
-the threshold among candidates is lost, yet a group of m copies yields about m comparisons.
+copies. Buckets whose other members then still lie in several components get an exact search among
+these members: pairs of different components are verified if the places of their rare common
+shingles still allow the threshold (prefix and positional filtering, with frequencies within these
+nodes, and shingles of one component only counted as lost). No bucket is capped and no pair at the
+threshold among candidates is lost, yet a group of m copies yields about m comparisons.
 
 Plan. The first pass writes, per document, the set's size, a 128-bit fingerprint and the bands, not
 the set. Band rows are (band, node, size), counted map-side; texts of candidates alone are read
@@ -27,7 +27,9 @@ Defined results. Words are runs of characters other than space, \\t, \\n, \\v, \
 lower case. With fewer words than a shingle has, the whole sequence is the one shingle; a null text
 or one without words has an empty set and no links. component_id is the least doc_id reachable,
 nulls last; kept says that doc_id equals it, so rows that share both a doc_id and a component are
-kept alike. An empty table gives an empty result. Other columns are left alone.
+kept alike. Very long texts are read whole. Repeated rows are one node; of them, and of all rows of a
+component, stays is true for the one with the least doc_id, then the least row. An empty table gives
+an empty result. Other columns are left alone, whatever their names.
 """
 
 from __future__ import annotations
@@ -42,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm.common import materialise, table
+from driftline.llm.common import free, materialise, table
 
 WORDS, PERCENT, ROWS, MISS, CACHE_WORDS = 5, 80, 5, 1e-6, 300_000
 
@@ -108,7 +110,7 @@ def _fingerprint(found: np.ndarray) -> bytes:
 
 
 def _sign(words: int, bands: int, rows: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("set_id", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("set_id", pa.binary()), ("bands", pa.list_(pa.int64())), ("given", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words, bands, rows)
@@ -119,7 +121,7 @@ def _sign(words: int, bands: int, rows: int):
                 keys = [shingler.band_keys(shingler.signature(s)) if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays([
                     part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([_fingerprint(s) if len(s) else None for s in sets], pa.binary()), pa.array(keys, pa.list_(pa.int64())),
+                    pa.array([_fingerprint(s) if len(s) else None for s in sets], pa.binary()), pa.array(keys, pa.list_(pa.int64())), part.column(3),
                 ], schema=schema)
 
     return run
@@ -149,12 +151,16 @@ def components(links: DataFrame) -> DataFrame:
     both = materialise(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
     labels = materialise(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("component")).withColumnRenamed("a", "node"), "labels")
     while True:
+        before = labels
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("component").alias("near")).withColumnRenamed("a", "node")
         stepped = materialise(labels.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "near").alias("next")), "step")
         jump = stepped.select(F.col("node").alias("next"), F.col("next").alias("far"))
         after = materialise(stepped.join(jump, "next").select("node", "was", F.least("next", "far").alias("component")), "labels")
+        free(before, stepped)
         labels = after.select("node", "component")
+        labels._driftline_path = after._driftline_path
         if after.filter("component <> was").isEmpty():
+            free(both)
             return labels
 
 
@@ -175,44 +181,49 @@ def _of_components(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _cross_pairs(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs of nodes of different components that may be linked, among mixed (node, component)."""
-    own = materialise(mixed.join(sets, "node").select("node", "component", "n", F.explode("shingles").alias("shingle")), "shingles")
-    often = materialise(own.groupBy("shingle").agg(F.count("*").alias("often"), F.min("component").alias("low"), F.max("component").alias("high")), "often")
-    found = own.join(often, "shingle").groupBy("node", "component", "n").agg(
-        F.count_if(F.col("often") == 1).alias("u"),
-        F.sort_array(F.collect_list(F.struct("often", "shingle", (F.col("low") != F.col("high")).alias("shared")))).alias("all"),
-    )
-    # The other's set has percent n / 100 shingles at least; the first n - ceil(percent n / 100) + 1 in order of frequency.
-    possible = found.filter(100 * 100 * (F.col("n") - F.col("u")) >= percent * (percent * F.col("n") + 100 * F.col("u")))
-    need = F.col("n") - F.expr(f"({percent} * n + 99) div 100") + 1
-    first = F.slice("all", F.lit(1), need.cast("int"))
-    shared = F.transform(F.filter(first, lambda s: s["shared"]), lambda s: s["shingle"])
-    whole = F.transform(first, lambda s: F.struct(s["often"].alias("often"), s["shingle"].alias("shingle")))
-    prefix = materialise(possible.select("node", "component", "n", "u", shared.alias("keys"), whole.alias("prefix")), "prefix")
-    names = lambda x: [F.col(c).alias(f"{k}{x}") for c, k in (("component", "c"), ("n", "n"), ("u", "u"), ("keys", "k"), ("prefix", "p"))]
-    side = lambda x: prefix.select(F.explode("keys").alias("shingle"), F.col("node").alias(x), *names(x))
-    left, right = side("a"), side("b")
-    within = lambda x, y: 100 * (F.col(f"n{x}") - F.col(f"u{x}")) >= percent * (F.col(f"n{y}") + F.col(f"u{x}"))
-    # A pair that shares several shingles of its prefixes comes out at the least of them only.
-    once = F.array_min(F.array_intersect("ka", "kb")) == left["shingle"]
-    # Up to where the shorter of the two prefixes ends, all common shingles are in both prefixes; the rest may all be common.
-    end = F.least(F.element_at("pa", -1), F.element_at("pb", -1))
-    one, two = (F.filter(x, lambda s: s <= end) for x in ("pa", "pb"))
-    most = F.size(F.array_intersect(one, two)) + F.least(F.col("na") - F.size(one), F.col("nb") - F.size(two))
-    enough = (100 + percent) * most >= percent * (F.col("na") + F.col("nb"))
-    may = (left["shingle"] == right["shingle"]) & (F.col("ca") < F.col("cb")) & _near_sizes(percent) & within("a", "b") & within("b", "a") & once & enough
-    return left.join(right, may).select("a", "b")
-
-
-def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, rows: int = ROWS, miss: float = MISS) -> DataFrame:
+    """Pairs of nodes of different components that may be linked, among mixed (node, component).
+
+    A node's shingles stand in one order: first the dead ones, which no other component has, then
+    the others from rare to frequent, ties by value. With d dead ones a set of n shares n - d with
+    a set of another component at most. A pair needs `need` common shingles, so the first of them
+    stands at na - need or before in one set and at nb - need or before in the other (from 0). All
+    common shingles up to there are joined, and are the first ones of the pair's common shingles;
+    what may follow is bounded by the shorter rest behind the last of them.
+    """
+    own = materialise(mixed.join(sets, "node").select("node", "component", "n", F.explode("shingles").alias("shingle")).repartition("shingle"), "shingles")
+    often = materialise(own.groupBy("shingle").agg(F.count("*").alias("often"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("shingle", "often"), "often")
+    live = own.join(often, "shingle").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("often", "shingle"))).alias("live"))
+    least = F.expr(f"({percent} * n + 99) div 100")  # in the smallest set that may be linked with one of n
+    sized = mixed.join(sets.select("node", "n"), "node").join(live, "node").withColumns({"dead": (F.col("n") - F.size("live")).cast("long"), "least": least})
+    possible = sized.filter((100 + percent) * F.size("live") >= percent * (F.col("n") + F.col("least")))
+    first = F.transform(F.slice("live", F.lit(1), F.greatest(F.lit(0), F.col("n") - F.col("least") + 1 - F.col("dead")).cast("int")), lambda s: s["shingle"])
+    placed = possible.select("node", "component", "n", "dead", F.posexplode(first).alias("at", "shingle"))
+    prefix = materialise(placed.select("node", "component", "n", "dead", "shingle", (F.col("dead") + F.col("at")).alias("at")), "prefix")
+    # The larger set (by node if equal) is a; the smaller needs the first n - 2 percent n / (100 + percent) shingles only.
+    left = prefix.select("shingle", *(F.col(c).alias(f"{c}_a") for c in ("node", "component", "n", "dead", "at")))
+    right = prefix.filter(f"(100 + {percent}) * at <= (100 - {percent}) * n").select("shingle", *(F.col(c).alias(f"{c}_b") for c in ("node", "component", "n", "dead", "at")))
+    need = f"({percent} * (n_a + n_b) + {99 + percent}) div {100 + percent}"
+    larger = F.expr("component_a <> component_b AND (n_a > n_b OR n_a = n_b AND node_a > node_b)")
+    may = larger & _near_sizes(percent, "n_a", "n_b") & F.expr(" AND ".join(f"n_{x} - greatest(dead_{x}, at_{x}) >= {need}" for x in "ab"))
+    common = left.withColumnRenamed("shingle", "shingle_a").join(right, (F.col("shingle_a") == F.col("shingle")) & may)
+    pairs = common.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "n_a", "n_b").agg(F.count("*").alias("both"), F.max("at_a").alias("last_a"), F.max("at_b").alias("last_b"))
+    found = materialise(pairs.filter(f"both + least(n_a - 1 - last_a, n_b - 1 - last_b) >= {need}").select("a", "b"), "pairs")
+    free(own, often, prefix)
+    return found
+
+
+def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, rows: int = ROWS, miss: float = MISS, row: str | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, row, stays: one row per row of docs.
 
-    row is the row's monotonically_increasing_id() in docs; stays is true for one row of each component.
+    row names the rows: the values of the column that is given as row, or numbers of this run's own.
+    stays is true for one row of each component.
     """
     bands = n_bands(percent, rows, miss)
     # Null and repeated doc_ids are told apart by a hash of the text, which has no say in the links.
-    read = docs.selectExpr("cast(doc_id as bigint) doc_id", "xxhash64(cast(text as string)) text_hash", "cast(text as string) text")
-    signed = materialise(read.mapInArrow(_sign(words, bands, rows), "doc_id bigint, text_hash bigint, n bigint, set_id binary, bands array<bigint>").withColumn("row", F.monotonically_increasing_id()), "signed")
+    read = docs.selectExpr("cast(doc_id as bigint) doc_id", "xxhash64(cast(text as string)) text_hash", "cast(text as string) text", f"cast({f'`{row}`' if row else 'null'} as bigint) given")
+    ddl = "doc_id bigint, text_hash bigint, n bigint, set_id binary, bands array<bigint>, given bigint"
+    signed = read.select("doc_id", "text_hash", "text", "given").mapInArrow(_sign(words, bands, rows), ddl)
+    signed = materialise(signed.withColumn("row", F.col("given") if row else F.monotonically_increasing_id()).drop("given"), "signed")
     same = materialise(signed.filter("n > 0").groupBy("set_id").agg(F.min("row").alias("node"), F.count("*").alias("copies")).filter("copies > 1").select("set_id", "node"), "same")
     noded = signed.join(same, "set_id", "left").withColumn("node", F.coalesce("node", "row"))
     nodes = noded.filter("n > 0 AND node = row")
@@ -224,6 +235,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     weighed = found.join(central, "node")
     leaders = materialise(weighed.groupBy("band").agg(F.max(F.struct("weight", -F.col("node"), "n", "node")).alias("leader")).select("band", "leader.node", "leader.n").toDF("band", "leader", "leader_n"), "leaders")
     members = materialise(found.join(leaders, "band").select("band", "node", "n", "leader", "leader_n"), "members")
+    free(shared, found, central, leaders)
     wanted = materialise(members.select("node").distinct().join(nodes.select("node", "doc_id", "text_hash", "set_id"), "node"), "wanted")
     its = (wanted["doc_id"].eqNullSafe(read["doc_id"])) & (wanted["text_hash"] == read["text_hash"])
     # The texts' shuffle is the same at every size; a join that is broadcast for small tables would hide it there.
@@ -236,13 +248,19 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
 
     # Every pair with a leader is decided; what is open lies between others of different components.
     placed = materialise(_of_components(others.select("band", "node"), labels), "placed")
-    mixed_bands = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("band")
-    mixed = materialise(placed.join(materialise(mixed_bands, "mixed"), "band").select("node", "component").distinct(), "mixed_nodes")
-    more = materialise(verified(_cross_pairs(mixed, sets, percent), sets, percent), "links")
+    mixed_bands = materialise(placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("band"), "mixed")
+    mixed = materialise(placed.join(mixed_bands, "band").select("node", "component").distinct(), "mixed_nodes")
+    free(members, wanted, placed, mixed_bands)
+    pairs = _cross_pairs(mixed, sets, percent)
+    more = materialise(verified(pairs, sets, percent), "links")
+    free(mixed, sets, pairs)
     if not more.isEmpty():
+        free(labels)
         labels = components(links.union(more))
+    free(links, more)
 
     found = materialise(_of_components(noded.select("row", "doc_id", "n", "node"), labels), "found")
+    free(signed, same, labels)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
     least = found.filter("n > 0").groupBy("component").agg(first, F.count("*").alias("size")).filter("size > 1").select("component", "first")
     out = found.join(materialise(least, "least"), "component", "left").withColumn("alone", (F.col("n") == 0) | F.col("first").isNull())

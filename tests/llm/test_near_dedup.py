@@ -71,3 +71,36 @@ def test_empty_tables(spark, stored):
 def test_bands_make_misses_rare():
     for percent in (80, 85):
         assert (1 - (percent / 100) ** 5) ** m.n_bands(percent, 5, 1e-6) <= 1e-6
+
+
+def test_cross_search_finds_links_between_components(spark, tmp_path):
+    """All pairs at the threshold between different components, whatever the sizes of the sets, and few others."""
+    rng, percent = random.Random(4), 80
+    base = list(range(300))
+    sets = {}
+    for i in range(120):
+        own = [s for s in base[: rng.choice([250, 280, 300])] if rng.random() > rng.choice([0.02, 0.06, 0.12])]
+        sets[i] = sorted({*own, *(10_000 + 500 * i + j for j in range(rng.choice([0, 3, 10, 30])))})
+    component = {i: i % 25 for i in sets}
+    path = str(tmp_path)
+    spark.createDataFrame([(i, component[i]) for i in sets], "node long, component long").write.parquet(f"{path}/mixed")
+    spark.createDataFrame([(i, len(s), s) for i, s in sets.items()], "node long, n long, shingles array<long>").write.parquet(f"{path}/sets")
+    stored_sets = spark.read.parquet(f"{path}/sets")
+    pairs = m._cross_pairs(spark.read.parquet(f"{path}/mixed"), stored_sets, percent)
+    both = lambda a, b: len(set(sets[a]) & set(sets[b]))
+    want = {frozenset((a, b)) for a in sets for b in range(a) if component[a] != component[b] and 100 * both(a, b) >= percent * (len(sets[a]) + len(sets[b]) - both(a, b))}
+    found = {frozenset(r) for r in pairs.collect()}
+    assert want and want <= found and len(found) < 120 * 119 / 2
+    assert {frozenset(r) for r in m.verified(pairs, stored_sets, percent).collect()} == want
+
+
+def test_rows_may_be_named_by_a_column(spark, stored, awkward):
+    docs = stored(awkward).withColumn("nr", 1000 - p_row())
+    found = m.near_duplicates(docs, row="nr").collect()
+    assert {r.row for r in found} == {r.nr for r in docs.collect()}
+
+
+def p_row():
+    from pyspark.sql import functions as F
+
+    return F.monotonically_increasing_id()

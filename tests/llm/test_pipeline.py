@@ -32,11 +32,46 @@ def test_language_stage_rejects_by_score(spark, stored):
     assert {r.doc_id for r in p.language(spark, docs, "").collect()} >= set(range(60))
     margin = (found[100] - 1 / 3) * 3 / 2
     for least in (margin - 1e-6, margin + 1e-6):
-        numbers = {r.row for r in p.language_id.rejected(docs, least).collect()}
-        kept = {r.doc_id for r in docs.withColumn("row", p.F.monotonically_increasing_id()).collect() if r.row not in numbers}
+        kept = {r.doc_id for r in docs.filter(p.language_id.stays(docs, least)).collect()}
         assert (100 in kept) == (least < margin)
 
 
+def test_rows_are_the_same_when_the_number_of_cores_changes(spark, stored, monkeypatch):
+    """Splits, and so numbers given by a scan, depend on the tasks that read it; decisions must not."""
+    rows = [(i, f"text number {i // 3} of its own with words enough to be read", "en", "a") for i in range(300)]
+    docs, seen = stored(rows, files=30), p.materialise
+    spark.conf.set("spark.sql.files.openCostInBytes", "1024")
+
+    def then_more_cores(df, label):
+        out = seen(df, label)
+        spark.conf.set("spark.sql.files.minPartitionNum", "16" if label == "dropped" else "2")
+        return out
+
+    monkeypatch.setattr(p, "materialise", then_more_cores)
+    try:
+        spark.conf.set("spark.sql.files.minPartitionNum", "2")
+        kept = [r.doc_id for r in p.exact(spark, docs, "").collect()]
+        assert sorted(kept) == list(range(0, 300, 3))
+        spark.conf.set("spark.sql.files.minPartitionNum", "2")
+        kept = [r.doc_id for r in p.near(spark, docs, "").collect()]
+        assert sorted(kept) == list(range(0, 300, 3))
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_clashing_and_null_columns(spark, stored):
+    import pytest
+
+    rows = [(None, "same words in two rows without an id here", None, None)] * 2 + [(5, "same words in two rows without an id here", "en", "a")]
+    docs = stored(rows)
+    assert [r.doc_id for r in p.exact(spark, docs, "").collect()] == [5]
+    assert [r.doc_id for r in p.near(spark, docs, "").collect()] == [5]
+    assert p.exact(spark, docs.filter("doc_id IS NULL"), "").count() == 1 == p.near(spark, docs.filter("doc_id IS NULL"), "").count()
+    with pytest.raises(ValueError, match="driftline_row"):
+        p.exact(spark, docs.withColumn("driftline_row", p.F.lit(1)), "")
+
+
 def test_run_on_small_table(spark, stored, awkward, tmp_path):
     stored(awkward).write.parquet(f"{tmp_path}/documents.parquet")
     assert p.run(spark, str(tmp_path)).count() > 0
