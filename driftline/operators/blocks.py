@@ -92,7 +92,9 @@ def slope(x: str) -> str:
 
 
 def psd_join(src: str, x: str, out: str, d: Dialect) -> list[str]:
-    """out: id, period, n, k, f, p: the power at each frequency, by a sum over rows for each of n / 2 + 1 frequencies."""
+    """out: id, period, n, k, f, p: the power at each of n / 2 + 1 frequencies. Whole series come from the stored table of fast transforms (spectra), short windows and the checking engine by sums over rows."""
+    if d.name == "spark" and src == "p":
+        return [f"{out} AS (SELECT id, period, n, k, f, power AS p FROM spectra WHERE series = '{x}')"]
     return [
         f"{out}_a AS (SELECT id, period, t, n, {x} - avg({x}) OVER (PARTITION BY id, period) AS c FROM {src})",
         f"{out}_b AS (SELECT id, period, t, n, c, k FROM {d.numbers(f'{out}_a', d.div('n', '2'), 'k')})",

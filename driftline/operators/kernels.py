@@ -74,30 +74,28 @@ def mmd2(before: np.ndarray, after: np.ndarray, cap: int = MMD_CAP) -> float:
     return float((kernel(b, b).sum() + kernel(a, a).sum()) / (m * (m - 1) + EPS) - 2 * kernel(b, a).mean())
 
 
-BANDS = [(0.0, 0.05), (0.05, 0.15), (0.15, 0.3), (0.3, 0.5)]
-SPECTRAL = ["spec_flatness_logratio", *(f"bandpower_b{i}_logratio" for i in range(1, len(BANDS) + 1))]
-
-
 def spectrum(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Frequencies and power of the centred series, without a window."""
     return np.arange(len(x) // 2 + 1) / len(x), np.square(np.abs(np.fft.rfft(x - x.mean()))) / len(x)
 
 
-def spectral_columns(p: DataFrame) -> DataFrame:
-    """id and SPECTRAL by fast Fourier transforms, for series too long for sums over all frequencies."""
+#: Series whose spectra blocks read.
+TRANSFORMED = ["detrended", "diff_detrended", "diff2_detrended"]
 
-    def shape(x: np.ndarray) -> list[float]:
-        f, power = spectrum(x)
-        total = power.sum()
-        shares = [power[(f >= lo) & (f < hi)].sum() / (total + EPS) if total > 0 else 0.0 for lo, hi in BANDS]
-        return [math.exp(np.log(power + EPS).mean()) / (power + EPS).mean(), *shares]
 
-    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("t")
-        b, a = (shape(rows.detrended[rows.period == k].to_numpy()) for k in (0, 1))
-        return pd.DataFrame([[key[0], *(math.log(max((y + EPS) / (x + EPS), EPS)) for x, y in zip(b, a, strict=True))]], columns=["id", *SPECTRAL])
+def spectra(p: DataFrame) -> DataFrame:
+    """id, period, series, n, k, f, power of the series of a preprocessed table, by one pass of fast Fourier transforms."""
 
-    return p.select("id", "period", "t", "detrended").groupBy("id").applyInPandas(one, "id long, " + ", ".join(f"{c} double" for c in SPECTRAL))
+    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows, out = rows.sort_values("t"), []
+        for period in (0, 1):
+            half = rows[rows.period == period]
+            for series in TRANSFORMED:
+                f, power = spectrum(half[series].to_numpy())
+                out.append(pd.DataFrame({"id": key[0], "period": period, "series": series, "n": len(half), "k": np.arange(len(f)), "f": f, "power": power}))
+        return pd.concat(out)
+
+    return p.select("id", "period", "t", *TRANSFORMED).groupBy("id").applyInPandas(one, "id long, period int, series string, n long, k long, f double, power double")
 
 
 def kernel_columns(p: DataFrame) -> DataFrame:

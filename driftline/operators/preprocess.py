@@ -11,8 +11,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 from driftline.functions.dialect import SPARK, Dialect
-from driftline.sources.series import Adapter
-from driftline.sources.workspace import fingerprint, listing, stored
+from driftline.sources.series import GIVEN, Adapter
+from driftline.sources.workspace import bucket_count, fingerprint, listing, stored
 
 #: Least spread of the standardised series, its first and second difference, and its absolute value.
 FLOOR_Z, FLOOR_DIFF, FLOOR_ABS, FLOOR_DIFF2 = "0.0008216e0", "1.0909e0", "0.5555e0", "1.6383e0"
@@ -77,9 +77,16 @@ def build_preprocessed(spark: SparkSession, sf_dir: str, adapter: Adapter, force
     def build() -> DataFrame:
         return spark.sql(re.sub(rf"\bFROM {name}\b", "FROM {raw}", text), raw=spark.read.parquet(path))
 
-    return stored(spark, key, build, "id", ["id", "period", "t"], sum(size for _, size, _ in listing(spark, path)), force)
+    return stored(spark, key, build, "id", ["id", "period", "t"], bucket_count(spark, sum(size for _, size, _ in listing(spark, path))), force)
+
+
+def preprocess_series(series: DataFrame, key: str) -> DataFrame:
+    """The preprocessed table of raw series (id, time, value, period), stored under key. Ids without both periods are left out."""
+    spark = series.sparkSession
+    text = f"WITH {preprocess_sql(GIVEN, SPARK)}\nSELECT * FROM p"
+    return stored(spark, key, lambda: spark.sql(text.replace("FROM series", "FROM {raw}"), raw=series), "id", ["id", "period", "t"], spark.sparkContext.defaultParallelism)
 
 
 def prepared_sql(sql: str) -> str:
-    """A statement over p with the placeholder {p} for the stored table."""
-    return re.sub(r"\b(FROM|JOIN) p\b", r"\1 {p} AS p", re.sub(r"\b(FROM|JOIN) p s\b", r"\1 {p} AS s", sql))
+    """A statement over p and spectra with placeholders for the stored tables."""
+    return re.sub(r"\b(FROM|JOIN) (p|spectra)\b( s\b)?", lambda m: f"{m[1]} {{{m[2]}}} AS {(m[3] or m[2]).strip()}", sql)

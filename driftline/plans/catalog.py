@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from driftline.functions.dialect import DUCKDB, SPARK, Dialect
 from driftline.operators import blocks, kernels, learning, selection
-from driftline.operators.features import block_frame, build_features
-from driftline.operators.preprocess import build_preprocessed, prepared_sql, preprocess_sql
-from driftline.sources.series import E1, E2, L1, L2, Adapter
+from driftline.operators.features import build_features, run_over
+from driftline.operators.preprocess import build_preprocessed, preprocess_sql
+from driftline.sources.series import E1, E2, L1, L2, Adapter, holdout_split
+from driftline.sources.workspace import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,7 +36,7 @@ def run_sql(sql: str) -> Query:
 
 def over_prepared(sql: str, adapter: Adapter) -> Query:
     """A query over p, the stored preprocessed table of an adapter."""
-    return lambda spark, sf_dir: spark.sql(prepared_sql(sql), p=build_preprocessed(spark, sf_dir, adapter))
+    return lambda spark, sf_dir: run_over(spark, build_preprocessed(spark, sf_dir, adapter), sql)
 
 
 #: Preprocessed columns by query name.
@@ -58,7 +59,14 @@ def _looks(d: Dialect) -> dict[str, str]:
     row = "CAST(time AS BIGINT) AS time, CAST(period AS BIGINT) AS period, round(x, 6) AS value"
     half = lambda how: f"SELECT r.id, {row} FROM r LEFT {how} JOIN {_HOLDOUT} ON r.id = h.id" if d.name == "spark" else f"SELECT r.id, {row} FROM r {how} JOIN {_HOLDOUT} ON r.id = h.id"
     q = lambda p: d.quantile("length", p)
+    stamp = "date_format(ts, 'MMdd_HHmm')" if d.name == "spark" else "strftime(ts, '%m%d_%H%M')"
+    number = r"regexp_extract(props, '([0-9]+)', 1)"
+    pieces = "split(props, ':')[0]" if d.name == "spark" else "split_part(props, ':', 1)"
+    starts = "startswith" if d.name == "spark" else "starts_with"
+    text = "STRING" if d.name == "spark" else "VARCHAR"
     return {
+        "event_stamps": f"SELECT {stamp} AS stamp, event_type, count(*) AS n FROM events GROUP BY {stamp}, event_type",
+        "props_parsed": f"SELECT event_id, CAST({number} AS BIGINT) AS number, trim({pieces}) AS key, {starts}(event_type, 'c') AS early, concat('id=', CAST(user_id AS {text}), ' k=', {number}) AS line FROM events",
         "series_long": f"{series(E1)}\nSELECT id, {row} FROM r",
         "series_by_type": f"{series(E2)}\nSELECT id, {row} FROM r",
         "semi_holdout": f"{series(L1)}\n{half('SEMI')}",
@@ -74,24 +82,27 @@ def _over_p(d: Dialect) -> dict[str, tuple[str, Adapter]]:
     """Statements over p by name: (SELECT or CTEs and SELECT without WITH, adapter)."""
     cells = " UNION ALL ".join(f"SELECT '{c}' AS series, {c} AS v FROM p" for c in ("original", "standardized", "clipped", "detrended", "diff_standardized", "diff2_standardized"))
     return {
-        "outlier_ids": ("SELECT DISTINCT id FROM p WHERE diff2_standardized < -2.1e0 OR diff2_standardized > 2.1e0", E1),
+        "outlier_ids": ("SELECT DISTINCT id FROM p WHERE original < -5e0 OR original > 5e0", E1),
+        "outlier_ids_diff2": ("SELECT DISTINCT id FROM p WHERE diff2_standardized < -2.1e0 OR diff2_standardized > 2.1e0", E1),
         "nonfinite_report": (f"SELECT series, count(*) AS cells, CAST(sum(CASE WHEN v IS NULL OR isnan(v) OR abs(v) > 1e300 THEN 1 ELSE 0 END) AS BIGINT) AS bad FROM ({cells}) u GROUP BY series", E1),
     }
 
 
-# Selection works on the quantile block with a synthetic label, id % 2: a label without meaning, as the tables have none for series.
-_F = blocks.BLOCKS["quantiles"](DUCKDB).columns
-COLUMNS = list(_F)
+# Selection works on all features that SQL expresses (three kernels are not among them), with a synthetic label, id % 2, as the tables have none for series.
+COLUMNS = [c for make in blocks.BLOCKS.values() for c in make(DUCKDB).columns]
 
 
 def _features_cte(d: Dialect) -> str:
-    block = blocks.BLOCKS["quantiles"](d)
-    return f"WITH {preprocess_sql(E1, d)},\n" + ",\n".join(block.ctes) + f",\nf AS (SELECT id, {', '.join(f'{e} AS {n}' for n, e in block.columns.items())} FROM {block.source} GROUP BY id),\ny AS (SELECT id, CAST(id % 2 AS INT) AS label FROM f)"
+    """CTEs that end in f (id and COLUMNS, rounded) and y (id, label)."""
+    each = [f"f_{name} AS MATERIALIZED ({make(d).over_p()})" for name, make in blocks.BLOCKS.items()]
+    first, *rest = [f"f_{name}" for name in blocks.BLOCKS]
+    joined = first + "".join(f" JOIN {x} ON {first}.id = {x}.id" for x in rest)
+    prep = preprocess_sql(E1, d).replace("\np AS (", "\np AS MATERIALIZED (")
+    return f"WITH RECURSIVE {prep},\n" + ",\n".join(each) + f",\nf AS MATERIALIZED (SELECT {first}.id, {', '.join(COLUMNS)} FROM {joined}),\ny AS (SELECT id, CAST(id % 2 AS INT) AS label FROM f)"
 
 
 def feature_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The quantile block, as doubles at six digits."""
-    return block_frame(spark, build_preprocessed(spark, sf_dir, E1), "quantiles")
+    return build_features(spark, sf_dir, E1).select("id", *COLUMNS)
 
 
 def _labels(f: DataFrame) -> DataFrame:
@@ -115,15 +126,20 @@ def _top(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _corr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = selection.correlations(feature_frame(spark, sf_dir), COLUMNS)
-    return pairs.filter(F.abs("corr") > 0.5).select("f1", "f2", F.round("corr", 6).alias("corr"))
+    return selection.correlated(selection.correlations(feature_frame(spark, sf_dir), COLUMNS)).select("f1", "f2", F.round("corr", 6).alias("corr"))
 
 
 def _pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = selection.pruned(selection.correlations(feature_frame(spark, sf_dir), COLUMNS), 0.9)
+    names = selection.pruned(selection.correlations(feature_frame(spark, sf_dir), COLUMNS))
     return spark.createDataFrame([(n,) for n in names], "feature string")
 
 
+def _scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = feature_frame(spark, sf_dir)
+    scaled = selection.scale(f, selection.fit_scale(f, COLUMNS))
+    return scaled.select("id", *((F.round(c, 6) + F.lit(0.0)).alias(c) for c in COLUMNS))
+
+
 _OOF = ["med_delta_oof", "slope_delta_oof", "std_vs_mad_oof", "kurt_contrast_oof"]
 
 
@@ -141,7 +157,7 @@ def _stack_sql(d: Dialect) -> tuple[list[str], str]:
 
 def _stack(spark: SparkSession, sf_dir: str) -> DataFrame:
     ctes, _ = _stack_sql(SPARK)
-    oof = spark.sql(prepared_sql("WITH " + ",\n".join(ctes) + "\nSELECT * FROM oof"), p=build_preprocessed(spark, sf_dir, L1))
+    oof = run_over(spark, build_preprocessed(spark, sf_dir, L1), "WITH " + ",\n".join(ctes) + "\nSELECT * FROM oof")
     found = learning.stack_features(oof, _OOF)
     return found.select("id", *((F.round(c, 6) + F.lit(0.0)).alias(c) for c in found.columns if c != "id"))
 
@@ -158,52 +174,51 @@ def _seeds_sql(d: Dialect) -> tuple[list[str], str]:
     ], "SELECT id, round(avg(p), 6) AS p FROM preds JOIN pb ON preds.seed = pb.seed GROUP BY id"
 
 
-def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = feature_frame(spark, sf_dir)
-    return f.join(_labels(f), "id").na.fill(0.0)
-
-
-def _all_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
-    """All features with the label, and the features' names."""
+def _rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
+    """All 185 features with the label, and the features' names."""
     f = build_features(spark, sf_dir, E1)
-    return f.join(_labels(f), "id").na.fill(0.0), [c for c in f.columns if c != "id"]
+    return f.join(_labels(f), "id"), [c for c in f.columns if c != "id"]
 
 
-#: The whole job: seeds, random search and early stopping as the operators' constants say.
-_SEEDS = {"seeds": learning.SEEDS, "top": learning.TOP_SEEDS, "trials": learning.TRIALS, "patience": learning.PATIENCE}
+def _stack_of(spark: SparkSession, sf_dir: str) -> tuple[learning.Stack, DataFrame]:
+    """The whole job as Config says: four families, five folds, three seeds of which two stay, five draws beside the defaults; stored by signature, so that queries share it."""
+    rows, columns = _rows(spark, sf_dir)
+    return learning.train(rows, columns, learning.Config(), f"{shared_folder(spark)}/driftline-stack"), rows
 
 
 def _oof(spark: SparkSession, sf_dir: str) -> DataFrame:
     """family, id, p of all four families."""
-    rows, columns = _all_rows(spark, sf_dir)
-    found = [learning.train_seeds(rows, columns, f, learning.SEED + 100 * (i + 1), folds=learning.FOLDS, **_SEEDS) for i, f in enumerate(learning.FAMILIES)]
-    return reduce(DataFrame.unionByName, [s.oof.select(F.lit(s.family).alias("family"), "id", "p") for s in found])
-
-
-def _stacked(spark: SparkSession, sf_dir: str):
-    rows, columns = _all_rows(spark, sf_dir)
-    return (*learning.train_stack(rows, columns, learning.FAMILIES, learning.FOLDS, learning.META, **_SEEDS), rows)
+    return reduce(DataFrame.unionByName, [b.oof.select(F.lit(b.family).alias("family"), "id", "p") for b in _stack_of(spark, sf_dir)[0].bases])
 
 
 def _meta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _stacked(spark, sf_dir)[1].oof
+    return _stack_of(spark, sf_dir)[0].oof
 
 
 def _infer(mode: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        bases, meta, rows = _stacked(spark, sf_dir)
-        return learning.infer(bases, meta, rows.drop("label"), mode)
+        stack, rows = _stack_of(spark, sf_dir)
+        return learning.infer(stack, rows, mode)
 
     return query
 
 
-def _kernel(column: str, adapter: Adapter) -> Query:
-    return lambda spark, sf_dir: kernels.kernel_columns(build_preprocessed(spark, sf_dir, adapter)).select("id", (F.round(column, 6) + F.lit(0.0)).alias(column))
+def _components(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[float]]:
+    f = build_features(spark, sf_dir, E1)
+    return learning.principal_components(f, [c for c in f.columns if c != "id"])
+
+
+def _explained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(i + 1, v) for i, v in enumerate(_components(spark, sf_dir)[1])], "component long, share double")
 
 
-def _psd(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = build_preprocessed(spark, sf_dir, E2)
-    return kernels.spectral_columns(p).select("id", *((F.round(c, 6) + F.lit(0.0)).alias(c) for c in kernels.SPECTRAL))
+def _holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of all labelled documents, the first 4 % of each quality by hash."""
+    return holdout_split(spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("id"), F.col("quality").alias("label")))
+
+
+def _kernel(column: str, adapter: Adapter) -> Query:
+    return lambda spark, sf_dir: kernels.kernel_columns(build_preprocessed(spark, sf_dir, adapter)).select("id", (F.round(column, 6) + F.lit(0.0)).alias(column))
 
 
 def queries() -> dict[str, Query]:
@@ -213,14 +228,14 @@ def queries() -> dict[str, Query]:
     for name, block in blocks.BLOCKS.items():
         out[f"feat_{name}"] = over_prepared(block(SPARK).over_p(), ADAPTERS.get(name, E1))
     ctes, select = _seeds_sql(SPARK)
-    scale = lambda spark, sf_dir: spark.sql("WITH " + selection.scale_sql(COLUMNS).replace("FROM f", "FROM {f} f"), f=feature_frame(spark, sf_dir))
     return out | {
         "feat_mmd": _kernel("mmd2_rbf_idrband_equal", E1), "feat_arch_lm": _kernel("archlm_neglogp_delta", L1), "feat_dwt": _kernel("dwt_l3_energy_logratio", L1),
-        "feat_spectral_fft": _psd, "feat_all": lambda spark, sf_dir: build_features(spark, sf_dir, E1),
-        "auc_univariate": _auc, "auc_documents": _auc_documents, "topk_features": _top, "corr_pairs": _corr, "corr_prune": _pruned, "scale_features": scale,
+        "feat_spectral_fft": over_prepared(blocks.BLOCKS["spectral"](SPARK).over_p(), E2), "feat_all": lambda spark, sf_dir: build_features(spark, sf_dir, E1),
+        "feat_all_outer": lambda spark, sf_dir: build_features(spark, sf_dir, E1, "full").select("id", *COLUMNS), "holdout_split": _holdout,
+        "auc_univariate": _auc, "auc_documents": _auc_documents, "topk_features": _top, "corr_pairs": _corr, "corr_prune": _pruned, "scale_features": _scaled,
         "stack_features": _stack, "seed_average": over_prepared("WITH " + ",\n".join(ctes) + "\n" + select, L1),
         "oof_gbt": _oof, "meta_oof": _meta, "infer_full": _infer("full"), "infer_fold": _infer("fold"),
-        "pca3": lambda spark, sf_dir: learning.principal_components(_rows(spark, sf_dir), COLUMNS),
+        "pca3": lambda spark, sf_dir: _components(spark, sf_dir)[0], "pca_variance": _explained,
     }
 
 
@@ -232,9 +247,9 @@ def oracle_sql() -> dict[str, str]:
     out |= {name: f"{prep(E1)}\n{_PREP_SELECT.format(c=c)}" for name, c in PREP.items()}
     for name, block in blocks.BLOCKS.items():
         out[f"feat_{name}"] = block(d).sql(ADAPTERS.get(name, E1), d)
-    rounded_f = f"{_features_cte(d)},\ng AS (SELECT id, {', '.join(f'round({c}, 6) + 0e0 AS {c}' for c in COLUMNS)} FROM f)"
-    of_g = lambda ctes: [c.replace("FROM f", "FROM g") for c in ctes]
-    auc = ",\n".join([rounded_f, *of_g(selection.auc_sql(COLUMNS))])
+    with_f = _features_cte(d)
+    auc = ",\n".join([with_f, *selection.auc_sql(COLUMNS)])
+    pairs = f"{with_f},\n{selection.unpivot_sql(COLUMNS)},\ncorrs AS (SELECT a.feature AS f1, b.feature AS f2, CASE WHEN stddev_pop(a.value) > 0 AND stddev_pop(b.value) > 0 THEN corr(a.value, b.value) END AS corr FROM long a JOIN long b ON a.id = b.id AND a.feature < b.feature GROUP BY a.feature, b.feature)"
     docs = "WITH f AS (SELECT doc_id AS id, n_chars::DOUBLE AS n_chars, strlen(text)::DOUBLE AS n_bytes FROM documents), y AS (SELECT doc_id AS id, quality AS label FROM labels),\n"
     stack_ctes, stack = _stack_sql(d)
     seed_ctes, seeds = _seeds_sql(d)
@@ -245,8 +260,10 @@ def oracle_sql() -> dict[str, str]:
         "auc_univariate": f"{auc}\nSELECT feature, round(auc, 6) AS auc FROM auc",
         "auc_documents": docs + ",\n".join(selection.auc_sql(["n_chars", "n_bytes"])) + "\nSELECT feature, round(auc, 6) AS auc FROM auc",
         "topk_features": f"{auc}\nSELECT * FROM (SELECT feature, round(auc, 6) AS auc, round(abs(round(auc, 6) - 0.5), 6) AS score FROM auc ORDER BY score DESC, feature LIMIT {selection.TOP}) WHERE score >= {selection.LEAST_AUC - 0.5:.6f}",
-        "corr_pairs": f"{rounded_f},\n{of_g([selection.unpivot_sql(COLUMNS)])[0]}\nSELECT a.feature AS f1, b.feature AS f2, round(corr(a.value, b.value), 6) AS corr FROM long a JOIN long b ON a.id = b.id AND a.feature < b.feature GROUP BY a.feature, b.feature HAVING abs(corr(a.value, b.value)) > 0.5",
-        "scale_features": f"{rounded_f},\n" + of_g([selection.scale_sql(COLUMNS)])[0],
+        "corr_pairs": f"{pairs}\nSELECT f1, f2, round(corr, 6) AS corr FROM corrs WHERE abs(corr) > {selection.CORRELATED}",
+        "corr_prune": f"{pairs},\n{selection.prune_sql()}",
+        "scale_features": f"{with_f},\n{selection.scale_sql(COLUMNS)}",
+        "feat_all_outer": f"{with_f}\nSELECT * FROM f",
         "stack_features": prep(L1) + ",\n" + ",\n".join(stack_ctes) + "\n" + stack,
         "seed_average": prep(L1) + ",\n" + ",\n".join(seed_ctes) + "\n" + seeds,
     }

@@ -34,6 +34,18 @@ r AS (SELECT id, time, period, CASE WHEN period = 1 THEN time - {d.div('n_all +
              CASE WHEN period = 1 THEN n_all - {d.div('n_all + 1', '2')} ELSE {d.div('n_all + 1', '2')} END AS n, x FROM r2)"""
 
 
+class Given(Adapter):
+    """A table of raw series (id, time, value, period): the periods are given, times are numbered anew."""
+
+    def sql(self, d: Dialect) -> str:
+        return f"""
+r0 AS (SELECT id, time AS given, CAST(period AS INT) AS period, value AS x FROM {self.table} WHERE value IS NOT NULL AND NOT isnan(value)),
+r1 AS (SELECT id, period, x, row_number() OVER (PARTITION BY id ORDER BY period, given) - 1 AS time, row_number() OVER (PARTITION BY id, period ORDER BY given) - 1 AS t,
+              count(*) OVER (PARTITION BY id, period) AS n, min(period) OVER (PARTITION BY id) AS low, max(period) OVER (PARTITION BY id) AS high FROM r0),
+r AS (SELECT id, time, period, t, n, x FROM r1 WHERE low = 0 AND high = 1)"""
+
+
+GIVEN = Given("series", "id", "time", "value", "time, period")
 E1 = Adapter("events", "user_id", "ts, event_id", "value", "ts, event_id")
 # Types are numbered from their distinct values, so that no window spans all rows.
 _TYPES = "SELECT event_type AS kind, CAST(row_number() OVER (ORDER BY event_type) AS BIGINT) AS type_id FROM (SELECT DISTINCT event_type FROM events) kinds"
@@ -80,3 +92,41 @@ def complete_ids(series: DataFrame) -> tuple[DataFrame, DataFrame]:
     ids = series.groupBy("id").agg(F.min("period").alias("low"), F.max("period").alias("high"))
     whole = ids.filter("low = 0 AND high = 1").select("id")
     return series.join(whole, "id", "left_semi"), ids.join(whole, "id", "left_anti").select("id")
+
+
+def numeric_columns(df: DataFrame) -> list[str]:
+    """Names of the columns that hold numbers."""
+    kinds = ("tinyint", "smallint", "int", "bigint", "float", "double")
+    return [name for name, kind in df.dtypes if kind in kinds or kind.startswith("decimal")]
+
+
+def without_ids(df: DataFrame, ids: list[int]) -> DataFrame:
+    """df without the rows of some ids; rows without an id stay."""
+    return df.filter(~F.coalesce(F.col("id").isin(ids), F.lit(False)))
+
+
+#: What most readers of a preprocessed table need.
+ESSENTIAL = ["id", "time", "period", "standardized", "detrended"]
+
+
+def write_essential(p: DataFrame, path: str) -> None:
+    """The essential columns of a preprocessed table, by themselves."""
+    p.select(*ESSENTIAL).write.mode("overwrite").parquet(path)
+
+
+def write_predictions(predictions: DataFrame, path: str) -> None:
+    """id and prediction as 32-bit floats."""
+    predictions.select("id", F.col("prediction").cast("float").alias("prediction")).write.mode("overwrite").parquet(path)
+
+
+def holdout_split(labels: DataFrame, share: float = 0.04, seed: int = 42) -> DataFrame:
+    """id, label, held: in each label the first rows by hash, share of them rounded up."""
+    from pyspark.sql import Window
+
+    slots = 1 << 12
+    hashed = labels.select("id", "label", F.xxhash64("id", F.lit(seed)).alias("h")).withColumn("slot", F.shiftright("h", 52))
+    counts = hashed.groupBy("label", "slot").agg(F.count("*").alias("n"))
+    by_label = Window.partitionBy("label")  # at most `slots` rows a label
+    offsets = counts.select("label", "slot", (F.sum("n").over(by_label.orderBy("slot")) - F.col("n")).alias("before"), F.sum("n").over(by_label).alias("all"))
+    ranked = hashed.withColumn("own", F.row_number().over(Window.partitionBy("label", "slot").orderBy("h", "id"))).join(offsets, ["label", "slot"])
+    return ranked.select("id", "label", (F.col("before") + F.col("own") <= F.ceil(F.col("all") * F.lit(share))).alias("held"))

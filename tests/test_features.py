@@ -149,9 +149,6 @@ def test_blocks(spark, prepared, values):
     close(column(spark, prepared, "perm_entropy", "perm_entropy_m3_delta"), on(lambda b, a: entropy(a, 3) - entropy(b, 3)))
     close(column(spark, prepared, "glr_css", "css_norm"), on(lambda b, a: math.sqrt(len(y := np.concatenate([b, a]))) * np.abs(np.cumsum(y * y) / (y @ y) - np.arange(1, len(y) + 1) / len(y)).max()))
     close(column(spark, prepared, "boundary_edge", "edge_dz_o8"), on(lambda b, a: np.median(a[8:13]) - np.median(b[-5:])))
-    flat = kernels.spectral_columns(prepared).select("id", "bandpower_b2_logratio").collect()
-    sums = column(spark, prepared, "spectral", "bandpower_b2_logratio")
-    close({r.id: r.bandpower_b2_logratio for r in flat}, {i: sums[i] for i in LONG})
 
 
 def rolling_logstd(x, w):

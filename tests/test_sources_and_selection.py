@@ -1,10 +1,12 @@
 import random
 
 import duckdb
+import numpy as np
+import pandas as pd
 import pytest
 
 from driftline.functions.dialect import DUCKDB
-from driftline.operators import learning, selection
+from driftline.operators import selection
 from driftline.sources import series
 
 
@@ -41,6 +43,69 @@ def test_auc_forms_agree(spark):
     assert {r.auc for r in selection.univariate_auc(f, one_class, ["a"]).collect()} == {0.5}
 
 
+def test_auc_over_many_ranges(spark):
+    """Ranks must be right where a feature's values lie in several sorted ranges."""
+    rng = random.Random(8)
+    rows = [(i, rng.gauss(i % 2, 2.0), float(rng.randrange(50))) for i in range(3000)]
+    f = spark.createDataFrame(rows, "id long, a double, b double").repartition(3)
+    y = f.selectExpr("id", "cast(id % 2 as int) label")
+    got = {r.feature: r.auc for r in selection.univariate_auc(f, y, ["a", "b"]).collect()}
+    for k, c in enumerate("ab"):
+        order = sorted((r[k + 1], r[0] % 2) for r in rows)
+        below = won = i = 0
+        while i < len(order):
+            j = i
+            while j < len(order) and order[j][0] == order[i][0]:
+                j += 1
+            ones = sum(x[1] for x in order[i:j])
+            won += ones * (below + (j - i - ones) / 2)
+            below += j - i - ones
+            i = j
+        assert got[c] == pytest.approx(won / (1500 * 1500))
+
+
+def test_correlations_with_gaps(spark):
+    rng = np.random.default_rng(2)
+    data = pd.DataFrame(rng.normal(1e6, 1, (400, 4)), columns=list("abcd"))
+    data["b"] += data["a"]
+    data.loc[::7, "c"] = np.nan
+    data["e"] = 3.0
+    data.insert(0, "id", range(400))
+    f = spark.createDataFrame(data).repartition(5)
+    got = {(r.f1, r.f2): r["corr"] for r in selection.correlations(f, list("edcba")).collect()}
+    want = data.drop(columns="id").corr()
+    assert len(got) == 10
+    for (x, y), v in got.items():
+        assert (v is None) if "e" in (x, y) else v == pytest.approx(want.loc[x, y], abs=1e-9)
+    assert selection.correlations(f, ["a"]).count() == 0
+    empty = selection.correlations(f.limit(0), ["a", "b"]).collect()
+    assert [(r.f1, r.f2, r["corr"]) for r in empty] in ([], [("a", "b", None)])
+
+
+def test_scaling(spark):
+    f = spark.createDataFrame([(i, float(i), 7.0, float(i)) for i in range(5)], "id long, x double, y double, x_logit double")
+    fitted = selection.fit_scale(f, ["x", "y", "x_logit"])
+    got = selection.scale(f, fitted).orderBy("id").collect()
+    assert set(fitted) == {"x", "y"} and [round(r.x, 6) for r in got] == [-1.414214, -0.707107, 0.0, 0.707107, 1.414214]
+    assert [r.y for r in got] == [0.0] * 5 and [r.x_logit for r in got] == [0.0, 1.0, 2.0, 3.0, 4.0]
+    with pytest.raises(Exception, match="x"):
+        selection.scale(f.drop("x"), fitted).collect()
+
+
+def test_columns_ids_and_holdout(spark, tmp_path):
+    df = spark.createDataFrame([(i, "t", float(i), i % 2) for i in range(1000)], "id long, name string, v double, label int")
+    assert series.numeric_columns(df) == ["id", "v", "label"]
+    assert series.without_ids(df, [3, 4]).count() == 998
+    held = series.holdout_split(df).collect()
+    assert len(held) == 1000 and [sum(r.held for r in held if r.label == k) for k in (0, 1)] == [20, 20]
+    assert {r.id for r in held if r.held} == {r.id for r in series.holdout_split(df.repartition(7)).collect() if r.held}
+    series.write_predictions(df.selectExpr("id", "v prediction"), f"{tmp_path}/p")
+    assert spark.read.parquet(f"{tmp_path}/p").dtypes == [("id", "bigint"), ("prediction", "float")]
+    wide = df.selectExpr("id", "1 time", "0 period", "v standardized", "v detrended", "name")
+    series.write_essential(wide, f"{tmp_path}/e")
+    assert spark.read.parquet(f"{tmp_path}/e").columns == series.ESSENTIAL
+
+
 def test_selection_and_pruning(spark):
     auc = spark.createDataFrame([("a", 0.9), ("b", 0.1), ("c", 0.51), ("d", 0.6)], "feature string, auc double")
     assert selection.selected(auc, k=3) == ["a", "b", "d"] and selection.selected(auc, k=1, always=("z",)) == ["z", "a"]
@@ -48,75 +113,7 @@ def test_selection_and_pruning(spark):
     f = spark.createDataFrame([(i, float(i), float(-i), float(i % 3)) for i in range(30)], "id long, p double, q double, r double")
     corr = selection.correlations(f, ["p", "q", "r"])
     assert {(r.f1, r.f2) for r in corr.collect()} == {("p", "q"), ("p", "r"), ("q", "r")} and selection.pruned(corr) == ["q"]
-
-
-def test_folds_oof_stack_and_saved_models(spark, tmp_path):
-    rng = random.Random(1)
-    rows = [(i, rng.gauss(i % 2, 0.6), rng.random(), i % 2) for i in range(120)]
-    df = spark.createDataFrame(rows, "id long, x double, w double, label int")
-    folds = learning.with_folds(df, 3).groupBy("label", "fold").count().collect()
-    assert {r["count"] for r in folds} == {20}
-    small = {"stepSize": 0.2, "maxDepth": 2, "maxIter": 3, "minInstancesPerNode": 2}
-    bases, meta = learning.train_stack(df, ["x", "w"], {"xgb_lite": small}, 2, small)
-    oof = bases[0].oof.join(df, "id")
-    assert oof.count() == 120 and learning.auc(oof) > 0.75
-    found = learning.infer(bases, meta, df.drop("label"), "fold")
-    assert found.count() == 120 and {c for c in found.columns} == {"id", "prediction"}
-    learning.save(bases, meta, str(tmp_path))
-    models = learning.load(spark, str(tmp_path))
-    assert len(models) == 2 * 3
-    with pytest.raises(ValueError):
-        learning.infer(bases, meta, df, "other")
-
-
-def test_seeds_trials_and_early_stopping(spark):
-    assert learning.stop_at([5, 4, 3, 4, 3, 3, 1], 3) == (3, True) and learning.stop_at([3, 2, 1, 2], 3) == (3, False)
-    assert all(p["maxIter"] >= 1800 for p in learning.FAMILIES.values())
-    rng = random.Random(2)
-    df = spark.createDataFrame([(i, rng.gauss(i % 2, 0.8), rng.random(), i % 2) for i in range(100)], "id long, x double, w double, label int").cache()
-    params = {"stepSize": 0.5, "maxDepth": 2, "maxIter": 50, "minInstancesPerNode": 4}
-    train, held = df.filter("id < 60"), df.filter("id >= 60")
-    model, trees = learning.fit_stopped(train, held, ["x", "w"], params, 3, 4)
-    longer = learning.fit(train, ["x", "w"], params | {"maxIter": trees}, 3)
-    assert model.stages[1].getNumTrees == trees < 50
-    want = {r.id: r.p for r in learning.score(longer, held).collect()}
-    assert all(abs(want[r.id] - r.p) < 1e-12 for r in learning.score(model, held).collect())
-    small = {"stepSize": 0.3, "maxDepth": 2, "maxIter": 3, "subsamplingRate": 0.6, "minInstancesPerNode": 4}
-    bases, meta = learning.train_stack(df, ["x", "w"], {"xgb_lite": small}, 2, small, seeds=3, top=2, trials=1, patience=2)
-    assert [len(s.top) for s in (*bases, meta)] == [2, 2] and set(bases[0].aucs) == {169, 186, 203} and set(meta.aucs) == {2069, 2086, 2103}
-    for s in (*bases, meta):
-        assert [f.seed for f in s.top] == sorted(s.aucs, key=lambda k: -s.aucs[k])[:2]
-        each = [{r.id: r.p for r in f.oof.collect()} for f in s.top]
-        assert all(abs(r.p - (each[0][r.id] + each[1][r.id]) / 2) < 1e-12 for r in s.oof.collect())
-    assert learning.infer(bases, meta, df.drop("label")).count() == 100
-
-
-def test_learner_queries_do_the_whole_job(monkeypatch):
-    from types import SimpleNamespace
-
-    from driftline.plans import catalog
-
-    calls = []
-
-    class Frame:
-        def __getattr__(self, name):
-            return lambda *a, **k: self
-
-    columns = ["a", "b"]
-    monkeypatch.setattr(catalog, "_all_rows", lambda spark, sf_dir: (Frame(), columns))
-    monkeypatch.setattr(learning, "train_stack", lambda *a, **k: (calls.append((a[1:], k)), ([], SimpleNamespace(oof=None)))[1])
-    monkeypatch.setattr(learning, "infer", lambda *a: None)
-    for q in ("meta_oof", "infer_full", "infer_fold"):
-        catalog.queries()[q](None, "")
-    whole = {"seeds": 3, "top": 2, "trials": 5, "patience": 100}
-    assert calls == [((columns, learning.FAMILIES, 5, learning.META), whole)] * 3
-
-
-def test_parameters():
-    assert learning.seed_list(69, 3) == [69, 86, 103]
-    assert learning.consensus([{"a": 1, "b": "x"}, {"a": 3, "b": "y"}, {"a": 2, "b": "y"}]) == {"a": 2, "b": "y"}
-    drawn = learning.sampled_params(learning.FAMILIES["xgb_main"], random.Random(1))
-    assert set(drawn) == set(learning.FAMILIES["xgb_main"]) and 0.02 <= drawn["stepSize"] <= 0.06
+    assert [(r.f1, r.f2) for r in selection.correlated(corr, 0.02).collect()][0] == ("p", "q")
 
 
 def test_stream_scores_each_file(spark, tmp_path):
@@ -134,5 +131,5 @@ def test_oracles_parse():
     from driftline.plans import catalog
 
     queries, oracles = catalog.queries(), catalog.oracle_sql()
-    assert set(oracles) <= set(queries) and len(queries) > 50
+    assert set(oracles) <= set(queries) and len(queries) > 50 and len(catalog.COLUMNS) == 182
     assert DUCKDB.name != "spark" and all("{" not in s for s in oracles.values())
