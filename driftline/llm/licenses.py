@@ -8,11 +8,14 @@ remaining detections are the method's; the score is the best confidence among th
 stand the base phrases, counted wherever their words stand consecutively; a text with a base phrase
 always has its label.
 
-One pass over the texts, no shuffle, whole texts. The operator returns the detections with their
-word intervals; the query derives its digest from them.
-
-Defined results: a null or empty text has no words, no labels and score 0; repeated rows and null
-doc_ids stay rows of their own; an empty table gives an empty result; other columns are left alone.
+One pass over the texts, no shuffle, whole texts, in time that grows with a text's length and the
+logarithm of its detections. The operator returns the detections with their word intervals; the
+query derives its digest from them.
+
+Defined results: a null or empty text has no words, no labels and score 0; very long texts are read
+whole; of detections of one interval the one of the higher form stays, then of the earlier family;
+repeated rows and null doc_ids stay rows of their own; an empty table gives an empty result; other
+columns are left alone, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,13 +48,26 @@ def stream(text: bytes) -> tuple[bytes, int]:
     return b" " + b" ".join(words) + b" ", len(words)
 
 
-def base_places(words: bytes) -> list[tuple[str, int]]:
+class Places:
+    """Word numbers of a stream's bytes; spaces are looked up only where something was found."""
+
+    def __init__(self, words: bytes):
+        self.words, self.spaces = words, None
+
+    def word(self, at: int) -> int:
+        """How many spaces stand before a byte: the number of the word behind a space there."""
+        if self.spaces is None:
+            self.spaces = np.flatnonzero(np.frombuffer(self.words, np.uint8) == 32)
+        return int(np.searchsorted(self.spaces, at))
+
+
+def base_places(words: bytes, places: Places | None = None) -> list[tuple[str, int]]:
     """Label and word number of every place of a base phrase."""
-    found = []
+    found, places = [], places or Places(words)
     for phrase, label in BASE:
         at = words.find(phrase)
         while at >= 0:
-            found.append((label, words.count(b" ", 0, at)))
+            found.append((label, places.word(at)))
             at = words.find(phrase, at + 1)
     return found
 
@@ -67,16 +84,48 @@ def suppressed(found: list[tuple[int, int, Rule]]) -> list[tuple[int, int, Rule]
     return out + _one_run(run)
 
 
+class _Reach:
+    """The greatest end among intervals that start at a place or before it; places are ranks (a Fenwick tree of maxima)."""
+
+    def __init__(self, n: int):
+        self.best = [-1 << 60] * (n + 1)
+
+    def add(self, place: int, end: int) -> None:
+        place += 1
+        while place < len(self.best):
+            self.best[place] = max(self.best[place], end)
+            place += place & -place
+
+    def most(self, place: int) -> int:
+        place, found = place + 1, -1 << 60
+        while place:
+            found = max(found, self.best[place])
+            place -= place & -place
+        return found
+
+
 def _one_run(run: list[tuple[int, int, Rule]]) -> list[tuple[int, int, Rule]]:
+    """By falling priority: out goes what lies within one that is kept, and what lies around one that is kept of another form, as a lower form says no more about the same words. Of what is left, each form keeps its longest."""
+    if len(run) < 2:
+        return run
+    rank = {s: i for i, s in enumerate(sorted({x[0] for x in run}))}
+    n, forms = len(rank), {x[2].form for x in run}
+    over, under = _Reach(n), {f: _Reach(n) for f in forms}  # the latter turned round: starts from the right, ends negated
     kept: list[tuple[int, int, Rule]] = []
     for start, end, rule in sorted(run, key=lambda x: (x[2].priority, x[0], -x[1])):
-        inside = any(s <= start and end <= e for s, e, _ in kept)
-        # A lower form around one that is kept says no more about the same words.
-        around = any(start <= s and e <= end and rule.form != r.form for s, e, r in kept)
+        at = rank[start]
+        inside = over.most(at) >= end
+        around = any(-under[f].most(n - 1 - at) <= end for f in forms if f != rule.form)
         if not inside and not around:
             kept.append((start, end, rule))
-    holds = lambda y, x: y[0] <= x[0] and x[1] <= y[1] and y[2].form == x[2].form and y[1] - y[0] > x[1] - x[0]
-    return sorted((x for x in kept if not any(holds(y, x) for y in kept)), key=lambda x: (x[0], x[1]))
+            over.add(at, end)
+            under[rule.form].add(n - 1 - at, -end)
+    out, reach, last = [], dict.fromkeys(forms, -1), dict.fromkeys(forms, (-1, -1))
+    for start, end, rule in sorted(kept, key=lambda x: (x[0], -x[1])):
+        if reach[rule.form] < end or last[rule.form] == (start, end):
+            out.append((start, end, rule))
+            reach[rule.form], last[rule.form] = end, (start, end)
+    return sorted(out, key=lambda x: (x[0], x[1]))
 
 
 class Scanner:
@@ -98,10 +147,11 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts, places, detections = [], [], []
             for text in column.slice(at, 1000).to_pylist():
                 words, n = stream(text or b"")
+                at_word = Places(words)
                 counts.append(n)
-                places.append([{"label": a, "word": b} for a, b in base_places(words)])
+                places.append([{"label": a, "word": b} for a, b in base_places(words, at_word)])
                 detections.append([
-                    {"label": r.label, "form": r.form, "first_word": words.count(b" ", 0, s) - 1, "words": words.count(b" ", s, e) + 1, "confidence": r.confidence}
+                    {"label": r.label, "form": r.form, "first_word": at_word.word(s) - 1, "words": at_word.word(e) - at_word.word(s) + 1, "confidence": r.confidence}
                     for s, e, r in scanner.scan(words)
                 ])
             yield pa.RecordBatch.from_arrays([doc_ids.slice(at, 1000), pa.array(counts, pa.int64()), pa.array(places, pa.list_(_PLACE)), pa.array(detections, pa.list_(_DETECTION))], schema=_SCHEMA)

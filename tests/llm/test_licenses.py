@@ -25,7 +25,7 @@ def test_base(parts, sep):
 
 def test_rules_by_hand():
     own = rules()
-    assert len(own) > 300 and all(len(r.keyword) > 1 for r in own)
+    assert len(own) > 500 and all(len(r.keyword) > 1 for r in own)
     scanner = m.Scanner(own)
     labels = lambda t: [(r.label, r.form) for _, _, r in scanner.scan(m.stream(t.encode())[0])]
     assert labels("Licensed under the Apache License, Version 2.0 (the License)") == [("apache-2.0", "grant")]
@@ -46,6 +46,54 @@ def test_a_keyword_never_hides_a_match():
         assert every and m.Scanner(own).scan(words) == every
 
 
+def all_pairs(found):
+    """Suppression by comparing all pairs, as the docstring says it."""
+    kept = []
+    for start, end, rule in sorted(found, key=lambda x: (x[2].priority, x[0], -x[1])):
+        if not any(s <= start and end <= e or start <= s and e <= end and r.form != rule.form for s, e, r in kept):
+            kept.append((start, end, rule))
+    longer = lambda y, x: y[2].form == x[2].form and y[0] <= x[0] and x[1] <= y[1] and y[1] - y[0] > x[1] - x[0]
+    return {x for x in kept if not any(longer(y, x) for y in kept)}
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 20), st.integers(1, 8), st.sampled_from([(f, p * 10 + k) for p, f in enumerate("abc") for k in range(3)])), max_size=30))
+def test_suppression_by_all_pairs(parts):
+    own = [m.Rule(f"{form}{priority}", form, priority, 0.5, b"x", re.compile(b"x")) for form, priority in {p[2] for p in parts}]
+    by = {(r.form, r.priority): r for r in own}
+    found = list({(start, start + size, by[kind]) for start, size, kind in parts})
+    got = m.suppressed(found)
+    assert len(got) == len(set(got)) and set(got) == all_pairs(found)
+    assert got == sorted(got, key=lambda x: (x[0], x[1])) or len({x[:2] for x in got}) < len(got)
+
+
+def test_phrases_are_found():
+    """Each phrase that is plain words, in a text of its own."""
+    from driftline.llm.license_rules import PHRASES
+
+    scanner = m.Scanner(rules())
+    plain = [(label, body) for label, body in PHRASES if not set(body) & set("(|?[\\.{")]
+    assert len(plain) > 60 and len(PHRASES) > 100
+    for label, body in plain:
+        assert any(r.pattern.search(b" " + body.encode() + b" ") for r in rules() if r.label == label), body
+        assert scanner.scan(b" some " + body.encode() + b" text "), body
+
+
+def test_time_grows_with_the_text():
+    """A text of nothing but phrases: places and suppression must not look back to its start."""
+    import time
+
+    scanner, seconds = m.Scanner(rules()), []
+    for n in (5_000, 20_000):
+        words, count = m.stream(b"license mit license apache license " * n)
+        began = time.process_time()
+        places = m.Places(words)
+        base, found = m.base_places(words, places), scanner.scan(words)
+        seconds.append(time.process_time() - began)
+        assert count == 5 * n and len(base) == 2 * n and base[-1][1] < count and len(found) >= n
+    assert seconds[1] < 10 * seconds[0] + 0.5
+
+
 def test_query_digest(spark, stored, awkward, tmp_path):
     rows = awkward + [(50, "MIT License and Apache License, Version 2.0; cc by, cc by", "en", "s")]
     found = {r.doc_id: r for r in m.scan(stored(rows)).collect()}
