@@ -3,35 +3,48 @@
 Elements of a page are hashed with all that is below them. Spark counts on how many pages of a host
 each subtree stands, combined map-side; subtrees that recur on at least min_pages pages and a share
 min_share of the host's pages, or of those of a section (the first segment of the path), are the
-site's template, and a second pass over the pages deletes them, inside the content that a page marks itself (article, main) too. What is protected there: the
-marked element itself; copies, as a subtree counts once for each different marked element that it
-stands in, and as one that would lose more than COPIED of its text keeps all of it; and the insides
-of blocks, as inline elements, list items and parts of tables have no hash of their own there.
+site's template, and a second pass over the pages deletes them, inside the content that a page marks
+itself (article, main) too. What is protected there: the marked element itself; copies, as a subtree
+counts once for each different marked element that it stands in, and as one that would lose more
+than COPIED of its text keeps all of it; and the insides of blocks, as inline elements, list items
+and parts of tables have no hash of their own there.
+
+Elements whose tag says menu, footer, sidebar, form, script or style, or whose role does, are left
+out whatever they hold, as they often differ from page to page. So are those with a name (a word of
+class or id) that says menu, header, footer, sidebar, notice, advert, form or comments: a name is
+such a word by itself or beside words of place and form (`main-nav`, `sidebar-left`), but not one
+that only mentions it (`with-sidebar`, `no-comments`, `related-work`). On a page without marked
+text, one that a name alone leaves out comes back if it holds more than MOST of the page's text,
+unless its name says comments. An article within an article is a comment on it, if the outer one
+has as much text of its own as the longest inner one.
 
-Elements whose tag, role, class or id says menu, header, footer, sidebar, notice, advert, form,
-script, style or comment are left out whatever they hold, as they often differ from page to page.
 Of what is left the articles are the text, if they hold at least MARKED of all that is marked (of
 the page, without a main); else all that is marked is, or the page.
 
 Text: character references are decoded, white space within a block becomes one space, blocks are
-trimmed and joined by a blank line; nothing else is dropped. A br is white space within its block.
+trimmed and joined by a blank line; nothing else is dropped. A br is white space within its block, and
+a block that is left out ends the text before it.
 
-Templates are a few hashes a host or section (at most 1 / min_share times the mean number of subtrees
-of a page); they are written, so that their size is known when Spark picks the join.
+Plan. Templates are a few hashes a host or section (at most 1 / min_share times the mean number of
+subtrees of a page); they are written, so that their size is known when Spark picks the join, and
+each host's pages are dealt over SALTS keys, so that a hot host's pages are read by as many tasks.
 
 Hosts of fewer than min_pages pages have no template, as too few pages tell what recurs; marks, tags
-and classes alone decide there.
+and names alone decide there.
 
-Defined results: a null page or url counts as empty; text is empty if nothing is left. Repeated
-rows are pages of their own, null page_ids stay. Tags left open, stray ends and unclosed comments
-are read as browsers mostly do. An empty table gives an empty result.
+Defined results: a null page or url counts as empty; text is empty if nothing is left; very long
+pages are read whole, in time in proportion. Repeated rows are pages of their own, null page_ids
+stay. Tags left open, stray ends and unclosed comments are read as browsers mostly do. An empty
+table gives an empty result. Other columns are left alone, whatever their names.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
@@ -41,7 +54,7 @@ from pyspark.sql import functions as F
 from driftline.llm.common import materialise, table
 
 MIN_PAGES, MIN_SHARE = 10, 0.2
-COPIED, MARKED = 0.8, 0.5
+COPIED, MARKED, MOST, SALTS = 0.8, 0.5, 0.5, 16
 
 TOKEN = re.compile(
     r"""<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"""
@@ -58,13 +71,20 @@ BLOCK = {
 }
 OUT = RAW | {"head", "nav", "footer", "aside", "form", "dialog", "menu", "svg", "math", "canvas", "object", "audio", "video", "button", "select", "option", "datalist", "map"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar"}
-SAYS_OUT = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|sponsor(?:ed|s)?|promo(?:tion|s)?|banners?|cookies?|consent|gdpr|notices?|alerts?|popups?|modals?|overlays?"
-    r"|newsletters?|subscribe|subscription|sidebars?|menus?|nav|navbars?|navigation|breadcrumbs?|footers?|masthead|topbar|toolbar|comments?|commentlist|disqus|replies|respond"
-    r"|share|sharing|social|related|recommended|widgets?|login|signup|skip-link)(?:$|[\s_-])",
-    re.I,
+#: Words of names. A name says one of them if its other words only say where or what kind of box it is.
+COMMENTS = set("comment comments commentlist commentary disqus replies reply respond".split())
+SAYS_OUT = COMMENTS | set(
+    "ad ads advert adverts advertisement advertisements advertising adsense sponsor sponsored sponsors promo promos promotion banner banners cookie cookies consent gdpr notice notices alert alerts popup popups "
+    "modal modals overlay overlays newsletter newsletters subscribe subscription sidebar sidebars menu menus nav navbar navbars navigation breadcrumb breadcrumbs footer footers masthead topbar toolbar "
+    "share sharing social related recommended widget widgets login signup skip".split()
 )
-SAYS_HEADER = re.compile(r"(?:^|[\s_-])(?:site|page|top|main|global)[_-]?header(?:$|[\s_-])|^header$", re.I)
+SAYS_HEADER = {"header", "siteheader", "pageheader", "topheader"}
+AROUND = set(
+    "site page post entry article blog global main top bottom left right primary secondary first second third inner outer upper lower sticky fixed mobile desktop header footer "
+    "area bar block body box button buttons card container content form group holder icons inside inner item items layer leaderboard link links list message module panel popup row section slot space "
+    "stories posts articles news reading text title toggle top unit view widget wrap wrapper zone count counter thread threads feed bottom google gpt dfp iframe id policy law eu the of and".split()
+)
+_SPLIT = re.compile(r"[_\W]+|(?<=[a-z])(?=[A-Z])|(?<=[A-Za-z])(?=[0-9])")
 #: A start tag ends an open element of these, up to the nearest of the others.
 ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}),
@@ -76,13 +96,31 @@ _P = {"p"}
 P_SCOPE = {"td", "th", "caption", "button", "object", "html", "table"}
 
 
-class _Element:
-    __slots__ = ("cut", "holds_marked", "inner", "marked", "out", "parts", "start", "tag")
+@lru_cache(1 << 16)
+def says(name: str) -> str:
+    """What a word of a class or id says: "comments", "out", "header" or nothing."""
+    words = [w.lower() for w in _SPLIT.split(name) if w and not w[0].isdigit()]
+    found = [w for w in words if w in SAYS_OUT]
+    if found and all(w in SAYS_OUT or w in AROUND for w in words):
+        return "comments" if COMMENTS & set(found) else "out"
+    if words and words[-1] in SAYS_HEADER and all(w in SAYS_HEADER or w in ("site", "page", "top", "main", "global") for w in words):
+        return "header"
+    return ""
+
 
-    def __init__(self, tag: str, out: bool, marked: int, start: int):
-        self.tag, self.out, self.marked, self.start = tag, out, marked, start
+class _Element:
+    __slots__ = ("cut", "holds_marked", "inner", "marked", "named", "nested", "out", "parts", "seen", "set_aside", "tag")
+
+    def __init__(self, tag: str, out: bool, marked: int, start: str, named: str = "", set_aside: bool = False):
+        self.tag, self.out, self.marked = tag, out, marked
+        #: A hash of the start tag, the text and the hashes of the elements below.
+        self.seen = xxhash.xxh64(start)
+        #: What the element's own names say, and whether it lies within an element that such a name sets aside.
+        self.named, self.set_aside = named, set_aside
         self.holds_marked = False
         self.parts: list = []
+        #: Of articles: the places of articles within, their parts and how much text these hold.
+        self.nested: list[tuple[list, list, int]] = []
         #: Of marked elements: the hashes below, and the parts of those that are template.
         self.inner: list[int] = []
         self.cut: list[list] = []
@@ -112,47 +150,64 @@ def _size(blocks: list[str]) -> int:
     return sum(map(len, blocks))
 
 
-def _leaves_out(tag: str, attributes: str, marked: int) -> bool:
+def _leaves_out(tag: str, attributes: str, marked: int) -> tuple[bool, str]:
+    """Whether the element goes whatever it holds, and what its names say otherwise."""
     if tag in OUT or tag == "header" and not marked:
-        return True
-    if not attributes:
-        return False
-    for name, value in ATTRIBUTE.findall(attributes):
+        return True, ""
+    said = ""
+    for name, value in ATTRIBUTE.findall(attributes) if attributes else ():
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "role" and value.lower() in ROLES:
-            return True
-        if name in ("class", "id") and tag not in ("html", "body", "main", "h1") and (SAYS_OUT.search(value) or not marked and SAYS_HEADER.search(value)):
-            return True
-    return False
+            return True, ""
+        if name in ("class", "id") and tag not in ("html", "body", "main", "h1"):
+            for word in value.split():
+                now = says(word)
+                if now and (now != "header" or not marked) and said != "comments":
+                    said = now
+    return False, said
 
 
 def parse(page: str, template: frozenset[int] = frozenset(), read: bool = True) -> tuple[dict[int, int | None], list[str]]:
     """The subtrees' hashes, and the text blocks that are left without those of the template (none unless read).
 
-    A subtree is hashed as it is written, from its start tag to where it ends; with its hash comes
+    A subtree is hashed as it is written, but for its end tags; with its hash comes
     the hash of the marked element that it stands in, or None if it stands beside them. Marked
     elements, what encloses them, and what is left out anyway have no hash.
     """
-    stack = [_Element("", False, 0, 0)]
+    stack = [_Element("", False, 0, "")]
+    open_tags: dict[str, int] = defaultdict(int)
+    aside: list[tuple[list, list]] = []
     hashes: dict[int, int | None] = {}
     articles: list[list] = []
     tops: list[list] = []
     roots: list[_Element] = []
     mains = False
 
-    def digest(start: int, end: int) -> int:
-        return xxhash.xxh64_intdigest(page[start:end]) - (1 << 63)
-
-    def close(end: int) -> None:
+    def close() -> None:
         e = stack.pop()
         up = stack[-1]
+        open_tags[e.tag] -= 1
+        own = e.seen.intdigest()
+        up.seen.update(own.to_bytes(8, "little"))
+        own -= 1 << 63
+        if e.named:
+            place: list = []
+            up.parts += (None, place, None) if e.tag in BLOCK else (place,)
+            if e.named != "comments" and not e.marked:
+                aside.append((place, e.parts))
+            return
         if roots and e is roots[-1]:
             roots.pop()
             up.holds_marked = True
-            if e.inner:
-                own = digest(e.start, end)
-                for h in e.inner:
-                    hashes.setdefault(h, own)
+            size = 0
+            if read and (e.tag == "article" or e.nested):
+                size = _size(_blocks(e.parts))
+                if e.nested and size < max(n for _, _, n in e.nested):
+                    for place, parts, n in e.nested:
+                        place += (None, parts, None)
+                        size += n
+            for h in e.inner:
+                hashes.setdefault(h, own)
             if e.cut and read:
                 whole, kept = _size(_blocks(e.parts)), list(map(list, e.cut))
                 for parts in e.cut:
@@ -160,41 +215,50 @@ def parse(page: str, template: frozenset[int] = frozenset(), read: bool = True)
                 if _size(_blocks(e.parts)) < (1 - COPIED) * whole:
                     for parts, was in zip(e.cut, kept, strict=True):
                         parts += was
-            if e.tag == "article":
-                articles.append(e.parts)
             if not up.marked:
                 tops.append(e.parts)
+            if e.tag == "article":
+                if outer := next((r for r in reversed(roots) if r.tag == "article"), None):
+                    outer.nested.append((place := [], e.parts, size))
+                    up.parts.append(place)
+                    return
+                articles.append(e.parts)
         elif e.holds_marked:
             up.holds_marked = True
-        elif not e.out:
+        elif not e.out and not e.set_aside:
             if not e.marked:
-                h = digest(e.start, end)
-                hashes[h] = None
-                if h in template:
+                hashes[own] = None
+                if own in template:
+                    if e.tag in BLOCK:
+                        up.parts.append(None)
                     return
             elif e.tag in BLOCK and e.tag not in PIECES:
-                h = digest(e.start, end)
-                roots[-1].inner.append(h)
-                if h in template:
+                roots[-1].inner.append(own)
+                if own in template:
                     roots[-1].cut.append(e.parts)
         if not e.out:
             if e.tag in BLOCK:
                 up.parts += (None, e.parts, None)
             else:
                 up.parts.append(e.parts)
+        elif e.tag in BLOCK and not up.out:
+            up.parts.append(None)
 
-    def end_open(tags: set[str], scope: set[str], end: int) -> None:
+    def end_open(tags: set[str], scope: set[str]) -> None:
+        if not any(open_tags[t] for t in tags):
+            return
         for i in range(len(stack) - 1, 0, -1):
             tag = stack[i].tag
             if tag in tags:
                 while len(stack) > i:
-                    close(end)
+                    close()
                 return
             if tag in scope:
                 return
 
     def say(text: str) -> None:
         e = stack[-1]
+        e.seen.update(text)
         if not e.out:
             e.parts.append(html.unescape(text) if "&" in text else text)
 
@@ -209,45 +273,55 @@ def parse(page: str, template: frozenset[int] = frozenset(), read: bool = True)
             if tag2 is None:
                 if page.startswith("<![CDATA[", start):
                     say(page[start + 9 : end - 3])
+                else:
+                    stack[-1].seen.update(token[0])
                 continue
             ending, tag, attributes = ending2, tag2, attributes2
         tag = tag.lower()
         if ending:
-            for e in reversed(stack):
-                if e.tag == tag:
-                    while stack[-1] is not e:
-                        close(start)
-                    close(end)
-                    break
-            else:
-                if tag in ("p", "br"):
-                    stack[-1].parts.append(None if tag == "p" else " ")
+            if open_tags[tag]:
+                while stack[-1].tag != tag:
+                    close()
+                close()
+            elif tag in ("p", "br"):
+                stack[-1].parts.append(None if tag == "p" else " ")
             continue
         if tag in BLOCK:
-            end_open(_P, P_SCOPE, start)
+            end_open(_P, P_SCOPE)
             if tag in ENDS:
-                end_open(*ENDS[tag], start)
+                end_open(*ENDS[tag])
         if tag in VOID:
+            stack[-1].seen.update(token[0])
             stack[-1].parts.append(None if tag == "hr" else " " if tag == "br" else "")
             continue
         up = stack[-1]
-        out = up.out or _leaves_out(tag, attributes, up.marked)
-        marked = 0 if out else 2 if tag == "article" else max(up.marked, tag == "main")
-        stack.append(_Element(tag, out, marked, start))
-        if marked > up.marked:
+        set_aside = up.set_aside or bool(up.named)
+        out, named = (True, "") if up.out else _leaves_out(tag, attributes, up.marked)
+        if set_aside:
+            out, named = out or bool(named), ""
+        article = tag == "article" and not (out or named or set_aside)
+        marked = 0 if out else 2 if article else max(up.marked, tag == "main" and not (named or set_aside))
+        stack.append(_Element(tag, out, marked, token[0], named, set_aside))
+        open_tags[tag] += 1
+        if article or marked > up.marked:
             roots.append(stack[-1])
             mains = mains or tag == "main"
         if tag in RAW:
             found = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
-            at = found.start() if found else len(page)
-        elif attributes.endswith("/") and any(e.tag in ("svg", "math") for e in stack):
-            close(end)
+            stack[-1].seen.update(page[at : (at := found.start() if found else len(page))])
+        elif attributes.endswith("/") and (open_tags["svg"] or open_tags["math"]):
+            close()
     if at < len(page):
         say(page[at:])
     while len(stack) > 1:
-        close(len(page))
+        close()
     if not read:
         return hashes, []
+    if aside and not tops:
+        whole = _size(_blocks(stack[0].parts)) + sum(_size(_blocks(parts)) for _, parts in aside)
+        for place, parts in aside:
+            if _size(_blocks(parts)) > MOST * whole:
+                place.append(parts)
     said = [block for parts in articles for block in _blocks(parts)]
     around = [block for parts in (tops if mains else [stack[0].parts]) for block in _blocks(parts)]
     return hashes, said if _size(said) >= MARKED * _size(around) else around
@@ -309,7 +383,9 @@ def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
     rows = pages.selectExpr("cast(page_id as bigint) page_id", "cast(url as string) url", "cast(html as string) html")
     rest = F.when(F.instr("url", "://") > 0, F.expr("substring(url, instr(url, '://') + 3)")).otherwise(F.lit(""))
     host = F.translate(F.regexp_extract(F.coalesce(rest, F.lit("")), r"^[^/?#]*", 0), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    joined = rows.withColumn("host", host).join(templates(rows, min_pages, min_share), "host", "left")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    found = templates(rows, min_pages, min_share).select("host", "template", salts)
+    joined = rows.withColumns({"host": host, "salt": F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")}).join(found, ["host", "salt"], "left")
     return joined.select("page_id", "url", "html", "template").mapInArrow(_texts, "page_id bigint, url string, text string, n_chars bigint")
 
 

@@ -75,3 +75,134 @@ def test_empty_table(spark, tmp_path):
     path = str(tmp_path / "pages.parquet")
     spark.createDataFrame([], "page_id long, url string, html string").write.parquet(path)
     assert m.main_text(spark.read.parquet(path)).count() == 0
+
+
+def test_names_that_only_mention_a_word():
+    body = "<p>Body text of some length, with words</p>"
+    for name in ("content with-sidebar", "post no-comments has-share", "related-work", "ad-free", "notice-of-motion", "commentaries-on-law", "navigating"):
+        assert blocks(f"<div class='{name}'>{body}</div>") == blocks(f"<article class='{name}'>{body}</article>") == [body[3:-4]], name
+    for name in ("sidebar", "main-nav", "siteNav", "sidebar-left", "cookie-banner", "post-share", "google_ads_iframe_1", "related-posts", "comments-area", "Comments", "ad300x250 ad"):
+        assert blocks(f"<div class='{name}'><p>x</p></div>{body}") == [body[3:-4]], name
+    assert [m.says(n) for n in ("page-header", "entry-header", "comment-list", "share-buttons", "", "-", "7")] == ["header", "", "comments", "out", "", "", ""]
+
+
+def test_names_do_not_take_most_of_a_page():
+    long, short = "<p>" + "long text " * 20 + "</p>", "<p>short</p>"
+    text = ("long text " * 20).strip()
+    assert blocks(f"<div class='widget'>{long}</div>{short}") == [text, "short"]
+    assert blocks(f"<div class='widget'>{short}</div>{long}") == [text]
+    assert blocks(f"<div class='comments'>{long}</div>{short}") == ["short"]  # comments are none of the text, however long
+    assert blocks(f"<div class='widget'>{long}</div><article>{short}</article>") == ["short"]  # marked text needs no help
+    assert blocks(f"<div class='widget'><div class='menu'>x</div>{long}</div>") == [text]
+
+
+def test_articles_in_articles():
+    reader = "<article><p>me too</p></article>"
+    assert blocks(f"<article><h1>Head</h1><p>The body of it</p>{reader * 3}</article>") == ["Head", "The body of it"]
+    assert blocks(f"<article><h1>List</h1>{'<article><p>A part of its own with text</p></article>' * 2}</article>") == ["List"] + ["A part of its own with text"] * 2
+    deep = "<article>" * 1500 + "<p>deep</p>" + "</article>" * 1500
+    assert blocks(deep) == ["deep"]
+
+
+class Plain:
+    """A plain reading of well-formed pages: a tree by the standard parser, elements left out by tag or name, blocks in order."""
+
+    def __init__(self, page):
+        from html.parser import HTMLParser
+
+        outer = self
+        self.root, self.stack = ["html", "", []], []
+        self.stack.append(self.root)
+
+        class Reader(HTMLParser):
+            def handle_starttag(self, tag, attrs):
+                node = [tag, " ".join(v or "" for k, v in attrs if k in ("class", "id")), []]
+                outer.stack[-1][2].append(node)
+                if tag not in m.VOID:
+                    outer.stack.append(node)
+
+            def handle_endtag(self, tag):
+                outer.stack.pop()
+
+            def handle_data(self, data):
+                outer.stack[-1][2].append(data)
+
+        Reader(convert_charrefs=True).feed(page)
+
+    def blocks(self):
+        out, run = [], []
+
+        def end():
+            if text := " ".join("".join(run).split()):
+                out.append(text)
+            run.clear()
+
+        def walk(node):
+            tag, names, children = node
+            if tag in m.BLOCK:
+                end()
+            if tag in m.OUT or tag == "header" or any(m.says(n) for n in names.split()):
+                return
+            for c in children:
+                run.append(c) if isinstance(c, str) else run.append(" ") if c[0] == "br" else walk(c)
+            if tag in m.BLOCK:
+                end()
+
+        found = []
+
+        def search(node, tag):
+            for c in node[2]:
+                if not isinstance(c, str):
+                    found.append(c) if c[0] == tag else search(c, tag)
+
+        search(self.root, "article")
+        for node in found or [self.root]:
+            walk(node)
+        return out
+
+
+def test_against_a_plain_parser():
+    import random
+
+    rng = random.Random(11)
+    words = "alpha beta gamma &amp; &eacute; &#65; delta".split()
+
+    def text():
+        return " ".join(rng.choice(words) for _ in range(rng.randint(1, 6))) + rng.choice(["", "\n ", "  "])
+
+    def element(depth):
+        kind = rng.choice(["p", "div", "b", "ul", "text", "text", "nav", "named", "br", "script", "section", "table"])
+        if depth > 3 or kind == "text":
+            return text()
+        inner = lambda: "".join(element(depth + 1) for _ in range(rng.randint(1, 3)))
+        if kind == "p":
+            return f"<p>{text()}<i>{text()}</i></p>"
+        if kind == "ul":
+            return "<ul>" + "".join(f"<li>{text()}</li>" for _ in range(3)) + "</ul>"
+        if kind == "table":
+            return f"<table><tbody><tr><td>{text()}</td><td>{text()}</td></tr></tbody></table>"
+        if kind == "named":
+            return f"<div class='{rng.choice(['comments', 'box', 'content-wide'])}'>{inner()}</div>"
+        if kind == "br":
+            return "<br>"
+        if kind == "script":
+            return "<script>if (a) { b() }</script>"
+        return f"<{kind}>{inner()}</{kind}>"
+
+    for i in range(400):
+        content = "".join(element(0) for _ in range(rng.randint(1, 6)))
+        page = f"<div>{content}</div>" if i % 2 else f"<nav>Menu</nav><article>{content}</article><footer>Foot</footer>"
+        assert blocks(page) == Plain(page).blocks(), page
+
+
+def test_very_long_page_and_clashing_columns(spark, tmp_path):
+    import time
+
+    long = "<div><p>word " * 40_000
+    began = time.process_time()
+    assert len(blocks(long)) == 40_000
+    assert len(blocks("<p>a</p>" * 200_000)) == 200_000 and time.process_time() - began < 60
+    rows = [(1, "http://h/a", "<article><p>x</p></article>", 5, "s", "p"), (1, "http://h/a", "<article><p>x</p></article>", 5, "s", "p")]
+    path = str(tmp_path / "pages.parquet")
+    spark.createDataFrame(rows, "page_id long, url string, html string, salt int, section string, pages string").write.parquet(path)
+    assert [(r.page_id, r.text) for r in m.main_text(spark.read.parquet(path)).collect()] == [(1, "x")] * 2
