@@ -8,9 +8,11 @@ centre and covariance of the most concentrated share COVERAGE of its group's doc
 Estimates are per language and source, over all documents of the group that pass the base. They
 start from coordinate medians and MADs and are improved by concentration steps, each of which takes
 the documents nearest to the estimate (their distance below the group's quantile) and estimates
-again from these. A step is two aggregations combined map-side, so the size of a group does not
-matter; only sums and sketches move. Groups under min_rows documents are pooled by language, and
-what is left of languages under min_rows in one pool. A pool under fewest documents rejects none.
+again from these, until no group's quantile moves or for `steps` steps. Quantiles are read from
+counts by bin, keyed by group and bin, and estimates from sums; both are combined map-side, so that
+a hot group is spread over tasks and only counts and sums move. Seven means and 28 covariances
+need some documents: groups under min_rows are pooled by language, and what is left of languages
+under min_rows in one pool; a pool under fewest documents rejects none.
 
 The covariance gets the factor that makes it consistent for normal data, and FLOORS, the squared
 noise that is granted to each feature, on its diagonal: most documents have no symbols or repeats
@@ -19,7 +21,8 @@ squared distance exceeds the chi-squared quantile of 1 - tail.
 
 Defined results: a null text has no words and fails the base, and so does an empty one; null
 languages and sources are groups of their own; repeated rows and null doc_ids are documents of
-their own; an empty table gives an empty result. Other columns are left alone.
+their own; very long texts are read whole; documents of one distance are judged alike; an empty table
+gives an empty result. Other columns are left alone, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,15 +33,17 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from driftline.llm.common import materialise, table
+from driftline.llm.common import free, materialise, table
 
 FEATURES = ["word_length", "symbols", "dup_lines", "repeats", "stutter", "upper", "punctuation"]
 #: Granted standard deviations of the features.
 FLOORS = [0.06, 0.09, 0.25, 0.2, 0.12, 0.05, 0.1]
-COVERAGE, STEPS, TAIL, MIN_ROWS, FEWEST = 0.75, 6, 1e-6, 50, 10
+COVERAGE, STEPS, TAIL, MIN_ROWS, FEWEST = 0.75, 12, 1e-6, 50, 10
+#: Width of the bins that quantiles are read from, of features and of the logarithm of squared distances; bins are first counted by 1 << FINE.
+RESOLUTION, LOG_STEP, FINE = 2e-7, 5e-7, 12
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
 _SYMBOLS, _MARKS, _UPPER, _SPACE = b"#*$%&|<>", b".,;:!?", bytes(range(65, 91)), b" \t\n\x0b\x0c\r"
 _LATER = bytes(range(0x80, 0xC0))
@@ -182,20 +187,47 @@ def _estimates(factor: float, floors: list[float]):
     return run
 
 
+def _at_share(rows: DataFrame, keys: list[str], share: float) -> DataFrame:
+    """keys and bin: the least bin up to which share of the group's rows lie, from rows (keys, bin).
+
+    Counts by the bins' upper part find a stretch of 1 << FINE bins, counts of the rows in it the bin:
+    a group has a bounded number of counts each time.
+    """
+    group = Window.partitionBy(*keys)
+    parts = rows.groupBy(*keys, F.shiftright("bin", FINE).alias("part")).agg(F.count("*").alias("n"))
+    placed = parts.withColumns({"upto": F.sum("n").over(group.orderBy("part")), "whole": F.sum("n").over(group)})
+    found = placed.filter(F.col("upto") >= F.lit(share) * F.col("whole")).groupBy(*keys).agg(F.min(F.struct("part", (F.col("upto") - F.col("n")).alias("before"), "whole")).alias("at"))
+    found = materialise(found.select(*keys, "at.*"), "parts")
+    inner = rows.join(found, keys).filter(F.shiftright("bin", FINE) == F.col("part")).groupBy(*keys, "bin", "before", "whole").agg(F.count("*").alias("n"))
+    reached = inner.withColumn("upto", F.col("before") + F.sum("n").over(group.orderBy("bin"))).filter(F.col("upto") >= F.lit(share) * F.col("whole"))
+    return reached.groupBy(*keys).agg(F.min("bin").alias("bin"))
+
+
+def _medians(rows: DataFrame, values: list[F.Column], name: str) -> DataFrame:
+    """pool and the medians of the values, to RESOLUTION."""
+    long = rows.select("pool", F.posexplode(F.array(*values)).alias("i", "x")).select("pool", "i", F.floor(F.col("x") / RESOLUTION).alias("bin"))
+    middle = lambda i: F.max(F.when(F.col("i") == i, (F.col("bin") + 0.5) * RESOLUTION)).alias(f"{name}{i}")
+    return _at_share(long, ["pool", "i"], 0.5).groupBy("pool").agg(*(middle(i) for i in range(len(values))))
+
+
 def mcd(rows: DataFrame, coverage: float = COVERAGE, steps: int = STEPS, floors: list[float] | None = None) -> DataFrame:
     """An estimate for each pool, from rows with pool and x0..; one row per pool, written."""
     floors = floors or FLOORS
     factor = coverage / chi2_cdf(chi2_quantile(coverage, _P), _P + 2)
-    middle = lambda c, name: F.percentile_approx(c, F.lit(0.5), F.lit(10_000)).alias(name)
-    centre = materialise(rows.groupBy("pool").agg(*(middle(f"x{i}", f"c{i}") for i in range(_P))), "centre")
-    spread = rows.join(centre, "pool").groupBy("pool", *(f"c{i}" for i in range(_P))).agg(*(middle(F.abs(F.col(f"x{i}") - F.col(f"c{i}")), f"a{i}") for i in range(_P)))
+    centre = materialise(_medians(rows, [F.col(f"x{i}") for i in range(_P)], "c"), "centre")
+    spread = _medians(rows.join(centre, "pool"), [F.abs(F.col(f"x{i}") - F.col(f"c{i}")) for i in range(_P)], "a").join(centre, "pool")
     first = {f"p{i}_{j}": (1 / (F.pow(1.4826 * F.col(f"a{i}"), F.lit(2.0)) + floors[i] ** 2)) if i == j else F.lit(0.0) for i in range(_P) for j in range(i, _P)}
-    estimate = materialise(spread.withColumns(first).select(*_ESTIMATE), "estimate")
+    estimate, before = materialise(spread.withColumns(first).select(*_ESTIMATE), "estimate"), None
     for _ in range(steps):
-        far = rows.join(estimate, "pool").select("pool", *(f"x{i}" for i in range(_P)), _distance().alias("d"))
-        bound = materialise(far.groupBy("pool").agg(F.percentile_approx("d", F.lit(coverage), F.lit(10_000)).alias("bound")), "bound")
-        sums = far.join(bound, "pool").filter("d <= bound").groupBy("pool").agg(*_moments())
-        estimate = materialise(sums.mapInPandas(_estimates(factor, floors), _ESTIMATE_DDL), "estimate")
+        near = F.floor(F.ln(F.greatest(_distance(), F.lit(0.0)) + 1e-9) / LOG_STEP).alias("bin")
+        far = rows.join(estimate, "pool").select("pool", *(f"x{i}" for i in range(_P)), near)
+        bound = materialise(_at_share(far.select("pool", "bin"), ["pool"], coverage).withColumnRenamed("bin", "bound"), "bound")
+        if before is not None and bound.exceptAll(before).isEmpty():
+            break  # no group's nearest share reaches further or less far than in the step before
+        sums = far.join(bound, "pool").filter("bin <= bound").groupBy("pool").agg(*_moments())
+        last, estimate = estimate, materialise(sums.mapInPandas(_estimates(factor, floors), _ESTIMATE_DDL), "estimate")
+        free(last)
+        before = bound
     return estimate
 
 
