@@ -10,12 +10,19 @@ log probabilities, weighted by POOL, give document probabilities by a softmax.
 
 Training takes a bounded sample: of each language an equal part of sample_rows labelled documents
 (LEAST_ROWS at least), chosen by a hash of their doc_id, at most doc_words random words of each
-document and at most sample_words words of each language; of a long word a random segment. Prediction sees whole texts only; lang,
-source and doc_id are never part of it. The weights, some 30 KB, travel with the task.
-
-Defined results: a null text, and one without a letter, gets `und` with score 0. Null labels are
-not learned from; without any label all predictions are `und`. Null and repeated doc_ids stay rows
-of their own; an empty table gives an empty result.
+document and at most sample_words words of each language; of a long word a random segment.
+Prediction sees whole texts only; lang, source and doc_id are never part of it. The weights, some
+30 KB, travel with the task.
+
+The network does not see across words: a choice that lets equal words be read once, so that whole
+texts can be read at all, and that costs what word order and neighbours would tell.
+
+Defined results: a null text, and one without a letter, gets `und` with score 0; of languages of one
+probability the first by name is predicted. Very long texts are read whole, as their words are. Null
+labels are not learned from; without any label all predictions are `und`. Null and repeated doc_ids
+stay rows of their own; an empty table gives an empty result. Other columns are left alone, whatever
+their names. The sample's texts reach the driver by words only: at most doc_words words of a document,
+each of at most WORD_BYTES bytes, so that long documents do not fill it.
 """
 
 from __future__ import annotations
@@ -36,7 +43,7 @@ from driftline.llm.common import table
 SAMPLE_ROWS, SAMPLE_WORDS, DOC_WORDS, LEAST_ROWS = 2000, 6000, 200, 20
 EMBED, HIDDEN, STEPS, BATCH, RATE, SEED = 12, 16, 400, 256, 0.01, 5
 #: A word's bytes beyond this are read as further segments.
-SEGMENT, POOL, CACHE_WORDS = 24, 0.25, 300_000
+SEGMENT, POOL, CACHE_WORDS, WORD_BYTES = 24, 0.25, 300_000, 1 << 10
 #: The pipeline keeps texts whose label's score is at least so far from a guess (0) to certainty (1).
 LEAST_MARGIN = 0.1
 UNDETERMINED = "und"
@@ -231,12 +238,21 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_words: int =
     quota = max(LEAST_ROWS, sample_rows // len(counts))
     bound = F.element_at(F.create_map(*(F.lit(x) for k, n in sorted(counts.items()) for x in (k, quota * 0.9 / n))), F.col("lang"))
     share = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    chosen = labelled.filter(share <= bound).select("doc_id", "text", "lang").limit(max(sample_rows, quota * len(counts)))
+    chosen = labelled.filter(share <= bound).select("doc_id", "lang", F.col("text").cast("string").alias("text")).limit(max(sample_rows, quota * len(counts)))
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = []
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), strict=True):
+                found = words_of(text)
+                own.append([w[:WORD_BYTES] for w in random.Random(f"{seed} {doc_id} {len(text)}").sample(found, min(len(found), doc_words))])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(1), pa.array(own, pa.list_(pa.binary()))], names=["doc_id", "lang", "words"])
+
     words: dict[str, list[bytes]] = {}
     rng = random.Random(seed)
-    for row in sorted(chosen.collect(), key=lambda r: (str(r.doc_id), r.text)):
-        own = words_of(row.text.encode())
-        words.setdefault(row.lang, []).extend(rng.sample(own, min(len(own), doc_words)))
+    sampled = chosen.mapInArrow(some, "doc_id string, lang string, words array<binary>")
+    for row in sorted(sampled.collect(), key=lambda r: (str(r.doc_id), r.lang, r.words)):
+        words.setdefault(row.lang, []).extend(map(bytes, row.words))
     words = {k: rng.sample(v, min(len(v), sample_words)) for k, v in sorted(words.items())}
     return train(words, seed)
 

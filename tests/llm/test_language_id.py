@@ -81,3 +81,33 @@ def test_all_segments_of_a_word_are_learned(monkeypatch):
 def test_no_rows_and_no_labels(spark, stored):
     assert m.identify(stored([])).count() == 0
     assert [r.lang_pred for r in m.identify(stored([(1, "abc", None, "s")])).collect()] == ["und"]
+
+
+def test_documents_pool_their_positions(spark, stored, awkward):
+    """Whole documents against a plain pass over every position, without a cache of words."""
+    rng = random.Random(9)
+    words = {k: [w for _ in range(200) for w in m.words_of(text(k, 3, rng).encode())] for k in SYLLABLES}
+    langs, weights = m.train(words, steps=60)
+    net = m.BiGRU(len(langs))
+    net.w = weights
+    rows = [(i, text(rng.choice(list(SYLLABLES)), rng.randint(1, 60), rng) + " " + "x" * rng.choice([0, 30, 100]), None, "s") for i in range(40)]
+    rows += [(1000 + i, t, None, s) for i, (_, t, _, s) in enumerate(awkward) if len(t or "") < 1000]
+    found = {r.doc_id: r for r in m.predict(stored(rows), (langs, weights), ["doc_id"], cache_words=20).collect()}
+    for i, t, *_ in rows:
+        total = np.zeros(len(langs))
+        for w in (t or "").encode().lower().translate(m._TO_SPACE).split():
+            for k in range(0, len(w), m.SEGMENT):
+                x = np.frombuffer(b" " + w[k : k + m.SEGMENT] + b" ", np.uint8)[None]
+                total += net.positions(x).sum((0, 1))
+        p = np.exp(m.POOL * (total - total.max()))
+        if any(map(str.isalpha, t or "")):
+            assert found[i].lang_pred == langs[int(p.argmax())] and abs(found[i].score - p.max() / p.sum()) < 1e-3
+        else:
+            assert (found[i].lang_pred, found[i].score) == ("und", 0.0)
+
+
+def test_sample_is_bounded_by_words(spark, stored):
+    rows = [(i, f"{'ka' * 3000} " + "mo ti re " * 500, "aa", "s") for i in range(30)] + [(100 + i, "schein ungber", "bb", "s") for i in range(30)]
+    docs = stored(rows).select("doc_id", "text", "lang")
+    langs, _ = m.fit(docs, sample_rows=10, sample_words=50, doc_words=5)
+    assert langs == ["aa", "bb"]

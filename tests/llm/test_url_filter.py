@@ -87,3 +87,116 @@ def test_plan_has_no_python(pages):
 
 def test_empty_table(pages):
     assert m.filter_urls(pages([]), m.RULES).count() == 0
+
+
+def plain_judgement(rows, many, rare, z, strength, purity):
+    """Template and verdict of each distinct (host, path), by a plain tree; rows are (host, path, label)."""
+    import json
+    import math
+    import re
+    from collections import Counter, defaultdict
+
+    def plain(segment):
+        hexed = re.sub(r"(?i)\b(?=[0-9a-f-]*[0-9])[0-9a-f-]{12,}\b", "%", segment)
+        return re.sub(r"[0-9]+", "#", hexed)
+
+    stats = defaultdict(lambda: [0, 0, 0])
+    for host, path, label in rows:
+        own = stats[host, path]
+        own[0] += 1
+        own[1] += label == "block"
+        own[2] += label == "allow"
+    segments = {k: [plain(s) for s in k[1].split("/") if s] for k in stats}
+    node, level = {k: () for k in stats}, 0
+    while True:
+        below = defaultdict(list)
+        for k, s in segments.items():
+            if len(s) > level:
+                below[k[0], node[k]].append(k)
+        below = {at: ks for at, ks in below.items() if len(ks) > many}
+        if not below:
+            break
+        wide = {at for at, ks in below.items() if len(c := {segments[k][level] for k in ks}) > many and len(c) > rare * sum(stats[k][0] for k in ks)}
+        for k, s in segments.items():
+            if len(s) > level:
+                node[k] += ("*" if (k[0], node[k]) in wide else s[level],)
+        level += 1
+    template = {k: node[k] + tuple(s[level:]) for k, s in segments.items()}
+
+    sizes = defaultdict(set)
+    for (host, _), t in template.items():
+        sizes[host].add(t)
+    deepest = max((len(sorted(ts, key=len)[-2]) for ts in sizes.values() if len(ts) > 1), default=0)
+    for i in range(deepest):
+        shapes, sums = defaultdict(Counter), defaultdict(lambda: [0, 0, 0])
+        for k, t in template.items():
+            if len(t) > i:
+                at = (k[0], t[:i], t[i])
+                shapes[at][t[i + 1 :]] += stats[k][0]
+                sums[at] = [a + b for a, b in zip(sums[at], stats[k], strict=True)]
+        alike = defaultdict(list)
+        for at, own in shapes.items():
+            most = max((n, json.dumps(list(b), separators=(",", ":"))) for b, n in own.items())[1]
+            alike[at[0], at[1], most, max(map(len, own))].append(at)
+        merges = set()
+        for group in alike.values():
+            if len(group) > 1:
+                whole = [sum(sums[at][j] for at in group) for j in range(3)]
+                for at in group:
+                    n = sums[at][0]
+                    near = lambda j, n=n, at=at: abs(sums[at][j] / n - (p := whole[j] / whole[0])) <= z * math.sqrt(p * (1 - p) / n)  # noqa: E731, B023
+                    if near(1) and near(2):
+                        merges.add(at)
+        template = {k: (*t[:i], "+", *t[i + 1 :]) if len(t) > i and (k[0], t[:i], t[i]) in merges else t for k, t in template.items()}
+
+    known = defaultdict(lambda: [0, 0])
+    for k, t in template.items():
+        known[k[0], t][0] += stats[k][1]
+        known[k[0], t][1] += stats[k][2]
+    blocked, allowed = (sum(s[j] for s in stats.values()) for j in (1, 2))
+    overall = blocked / max(1, blocked + allowed)
+    out = {}
+    for k, t in template.items():
+        b, a = known[k[0], t]
+        out[k] = ("/" + "/".join(t), b + a > 0 and (b + strength * overall) / (b + a + strength) >= purity)
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_against_a_plain_tree(spark, tmp_path, seed):
+    """The verdicts of templates, whole: wildcards, merged branches and smoothed purity."""
+    import random
+
+    rng, rows = random.Random(seed), []
+    for host in ("a.test", "b.test", "c.test"):
+        for _ in range(rng.choice([60, 150])):
+            kind = rng.randrange(7)
+            path, spam = {
+                0: (f"/item/{rng.randrange(10**6)}/view", False),
+                1: (f"/u/{''.join(rng.choice('abcdefghij') for _ in range(5))}/posts", False),
+                2: (f"/go/{rng.choice(['x', 'y', 'z'])}/win/{rng.randrange(50)}", True),
+                3: (f"/docs/{rng.choice(['intro', 'setup', 'api'])}/{rng.choice('mnop')}", False),
+                4: (f"/f/{rng.getrandbits(64):016x}/q", True),
+                5: ("/" + "/".join(rng.choice("abc") for _ in range(rng.randrange(12))), rng.random() < 0.5),
+                6: (f"//odd//{rng.choice('wxyz')}/", False),
+            }[kind]
+            label = ("block" if spam else "allow") if rng.random() < 0.5 else None
+            rows += [(host, path, label)] * rng.choice([1, 1, 3])
+    spark.createDataFrame(rows, "host string, path string, label string").write.parquet(f"{tmp_path}/urls")
+    urls = spark.read.parquet(f"{tmp_path}/urls")
+    many, rare, z, strength, purity = 6, 0.3, 3.0, 5.0, 0.8
+    got = {(r.host, r.path): (r.template, r.rejected) for r in m.judged(m.merged(m.templates(urls, many, rare), z), strength, purity).collect()}
+    want = plain_judgement(rows, many, rare, z, strength, purity)
+    assert got == want
+    templates = {t for t, _ in want.values()}
+    assert any("*" in t for t in templates) and any("+" in t for t in templates) and any("%" in t for t in templates)
+    assert {r for _, r in want.values()} == {True, False}
+
+
+def test_null_ids_and_very_long_urls(spark, tmp_path):
+    long = "http://h.test/" + "/".join(f"s{i}" for i in range(300)) + "/" + "x" * 100_000
+    rows = [(None, long), (None, None), (5, long + "?q"), (5, "no scheme"), (6, "://"), (7, "http://H.TEST")]
+    spark.createDataFrame(rows, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    found = m.query(spark, str(tmp_path)).collect()
+    assert len(found) == 6 and all(r.verdict == "allow" and r.rule is None for r in found)
+    assert sorted((r.page_id is None, r.host) for r in found) == [(False, ""), (False, ""), (False, "h.test"), (False, "h.test"), (True, ""), (True, "h.test")]
