@@ -15,10 +15,31 @@ EPS, ARCH_LAGS, MMD_CAP = 1e-9, 5, 512
 COLUMNS = ["archlm_neglogp_delta", "dwt_l3_energy_logratio", "mmd2_rbf_idrband_equal"]
 
 
-def chi2_tail_5(x: float) -> float:
-    """P(X >= x) for five degrees of freedom, in closed form."""
-    y = max(x, 0.0) / 2
-    return math.erfc(math.sqrt(y)) + 2 * math.sqrt(y / math.pi) * math.exp(-y) * (1 + 2 * y / 3)
+def gamma_upper(a: float, x: float) -> float:
+    """The upper regularised incomplete gamma function: below a + 1 by the series of the lower one, beyond by a continued fraction."""
+    if x <= 0:
+        return 1.0
+    scale = math.exp(a * math.log(x) - x - math.lgamma(a))
+    if x < a + 1:
+        term = total = 1 / a
+        n = a
+        while abs(term) > 1e-17 * abs(total):
+            n += 1
+            term *= x / n
+            total += term
+        return max(0.0, 1 - scale * total)
+    b = x + 1 - a
+    c, d = 1e300, 1 / b
+    fraction = d
+    for i in range(1, 10_000):
+        step = -i * (i - a)
+        b += 2
+        d = 1 / (step * d + b or 1e-300)
+        c = b + step / c or 1e-300
+        fraction *= d * c
+        if abs(d * c - 1) < 1e-16:
+            break
+    return scale * fraction
 
 
 def arch_lm(z: np.ndarray, lags: int = ARCH_LAGS) -> float:
@@ -32,7 +53,7 @@ def arch_lm(z: np.ndarray, lags: int = ARCH_LAGS) -> float:
 
 
 def arch_neglogp(z: np.ndarray) -> float:
-    return -math.log(max(chi2_tail_5(arch_lm(z)), EPS))
+    return -math.log(max(gamma_upper(ARCH_LAGS / 2, arch_lm(z) / 2), EPS))
 
 
 _ROOT = math.sqrt(3)

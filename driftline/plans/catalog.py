@@ -84,6 +84,7 @@ def _over_p(d: Dialect) -> dict[str, tuple[str, Adapter]]:
     return {
         "outlier_ids": ("SELECT DISTINCT id FROM p WHERE original < -5e0 OR original > 5e0", E1),
         "outlier_ids_diff2": ("SELECT DISTINCT id FROM p WHERE diff2_standardized < -2.1e0 OR diff2_standardized > 2.1e0", E1),
+        "nonfinite_cells": (f"SELECT * FROM (SELECT id, time, series, v FROM ({cells.replace("SELECT '", "SELECT id, CAST(time AS BIGINT) AS time, '")}) u WHERE v IS NULL OR isnan(v) OR abs(v) > 1e300 ORDER BY id, time, series LIMIT 5) x", E1),
         "nonfinite_report": (f"SELECT series, count(*) AS cells, CAST(sum(CASE WHEN v IS NULL OR isnan(v) OR abs(v) > 1e300 THEN 1 ELSE 0 END) AS BIGINT) AS bad FROM ({cells}) u GROUP BY series", E1),
     }
 

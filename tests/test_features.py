@@ -175,8 +175,11 @@ def test_kernels():
     inner = slice(2, -2)
     assert abs(np.square(low).sum() + np.square(high).sum() - np.square(x).sum()) < 0.1 * np.square(x).sum()
     assert np.allclose(kernels.dwt(np.arange(64.0))[1][inner], 0)  # two vanishing moments
-    assert kernels.arch_lm(np.arange(6.0)) == 0 and kernels.chi2_tail_5(0) == 1
-    assert kernels.chi2_tail_5(11.0705) == pytest.approx(0.05, abs=1e-5)
+    assert kernels.arch_lm(np.arange(6.0)) == 0 and kernels.gamma_upper(2.5, 0) == 1
+    assert kernels.gamma_upper(2.5, 11.0705 / 2) == pytest.approx(0.05, abs=1e-5)
+    for y in (0.1, 1.0, 2.4, 3.6, 8.0, 40.0):  # closed forms for five and for two degrees of freedom
+        five = math.erfc(math.sqrt(y)) + 2 * math.sqrt(y / math.pi) * math.exp(-y) * (1 + 2 * y / 3)
+        assert kernels.gamma_upper(2.5, y) == pytest.approx(five, rel=1e-10) and kernels.gamma_upper(1.0, y) == pytest.approx(math.exp(-y), rel=1e-12)
     assert kernels.mmd2(x, x) > 0 and kernels.mmd2(x[:1], x) == 0
 
 
@@ -196,3 +199,15 @@ def test_no_exchange_over_the_stored_table(spark, prepared):
         df = spark.sql(prepared_sql(BLOCKS[block](SPARK).over_p()), p=prepared)
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "Exchange hashpartitioning" not in plan, block
+
+
+def test_own_blocks_and_outer_join(spark, folder, values):
+    from pyspark.sql import functions as F
+
+    longest = lambda p: p.filter("id <> 9").groupBy("id").agg(F.max("time").cast("double").alias("last"))
+    f = build_features(spark, folder, E1, how="full", blocks={"last": longest, "rolling": None})
+    got = {r.id: r["last"] for r in f.collect()}
+    assert got == {i: None if i == 9 else len(x) - 1 for i, x in values.items()}
+    assert len(f.columns) == 1 + 185 - 45 + 1
+    with pytest.raises(ValueError, match="8 rows of features for 9 ids"):
+        build_features(spark, folder, E1, blocks={"last": longest, "rolling": None})
