@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.llm import exact_dedup, language_id, mixing, near_dedup, packing
-from driftline.llm.common import free, materialise, numbered, table
+from driftline.llm.common import free, materialise, numbered, scoped, table
 
 
 def _without(docs: DataFrame, label: str, dropped: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -70,7 +70,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES[:-1]):
-        before, docs = docs, materialise(stage(spark, docs, sf_dir), name)
+        before = docs
+        with scoped() as kept:
+            docs = materialise(stage(spark, before, sf_dir), name)
+            kept.append(docs)
         if i:
             free(before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,6 +54,16 @@ def free(*tables: DataFrame) -> None:
             _delete(spark, path)
 
 
+@contextmanager
+def scoped() -> Iterator[list[DataFrame]]:
+    """Tables that are materialised inside go at its end, but for those that are put into the list."""
+    before, kept = set(_written), []
+    yield kept
+    stay = before | {df._driftline_path for df in kept}
+    for path in [p for p in _written if p not in stay]:
+        _delete(_written.pop(path), path)
+
+
 def numbered(docs: DataFrame, label: str) -> DataFrame:
     """docs with a stored number of each row, driftline_row: the same however often and by however many tasks the table is read."""
     return materialise(docs.withColumn("driftline_row", F.monotonically_increasing_id()), label)
