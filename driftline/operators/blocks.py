@@ -393,7 +393,8 @@ def boundary_edge(d: Dialect) -> Block:
     medians = ", ".join(f"median(CASE WHEN period = 1 AND t >= {s} AND t < {s} + {EDGE} THEN {z} END) AS v{o}" for o, s in starts.items())
     names = ["b", *map(str, EDGE_OFFSETS)]
     ranks = ", ".join(f"(sum(CASE WHEN {z} < v{o} THEN 1 ELSE 0 END) + 0.5e0 * sum(CASE WHEN {z} = v{o} THEN 1 ELSE 0 END)) AS k{o}" for o in names)
-    logit = lambda o: jeffreys(f"k{o}", "m")
+    # Logits of the same size and unlike signs are ties but for the last digit of the logarithm, so both engines need the same one.
+    logit = lambda o: jeffreys(f"k{o}", "m").replace("ln(", "libm_ln(" if d.name == "spark" else "ln(")
     dz = {o: f"(v{o} - vb)" for o in EDGE_OFFSETS}
     rank = {o: f"(({logit(o)}) - ({logit('b')}))" for o in EDGE_OFFSETS}
 

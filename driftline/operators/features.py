@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.functions.dialect import SPARK
+from driftline.functions.dialect import SPARK, libm_ln
 from driftline.operators.blocks import BLOCKS
 from driftline.operators.kernels import kernel_columns, spectra
 from driftline.operators.preprocess import build_preprocessed, prepared_sql, preprocess_series
@@ -25,6 +26,8 @@ def block_frame(spark: SparkSession, p: DataFrame, name: str) -> DataFrame:
 def run_over(spark: SparkSession, p: DataFrame, sql: str) -> DataFrame:
     """A statement over p; one that reads spectra gets those of p, stored once."""
     text, tables = prepared_sql(sql), {"p": p}
+    if "libm_ln(" in text:
+        spark.udf.register("libm_ln", F.pandas_udf(lambda x: pd.Series(libm_ln(x)), "double"))
     if "{spectra}" in text:
         tables["spectra"] = stored(spark, fingerprint(spark, "spectra", sorted(p.inputFiles())), lambda: spectra(p), "id", ["id", "series", "period", "k"], p._driftline_buckets)
     return spark.sql(text, **tables)

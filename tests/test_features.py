@@ -211,3 +211,21 @@ def test_own_blocks_and_outer_join(spark, folder, values):
     assert len(f.columns) == 1 + 185 - 45 + 1
     with pytest.raises(ValueError, match="8 rows of features for 9 ids"):
         build_features(spark, folder, E1, blocks={"last": longest, "rolling": None})
+
+
+def test_furthest_edge_of_equal_sizes_and_unlike_signs_is_that_of_the_checking_engine(spark):
+    """Rank logits like ln(3) and ln(1/3) tie but for the last digit of the logarithm."""
+    import duckdb
+    import pandas as pd
+
+    from driftline.functions.dialect import DUCKDB
+    from driftline.operators.blocks import BLOCKS
+    from driftline.operators.features import run_over
+
+    halves = [14, 38, 30, 21, 17, 10, 3, 6, 20, 15, 35, 8, 48, 50, 41, 19, 23, 45, 29, 26, 24, 28, 4, 7, 22], [12, 40, 43, 9, 33, 25, 46, 16, 5, 47, 27, 42, 32, 49, 37, 18, 13, 44, 11, 1, 39, 36, 2, 31, 34]
+    rows = [(1, period, t, len(half), float(v)) for period, half in enumerate(halves) for t, v in enumerate(half)]
+    p = pd.DataFrame(rows, columns=["id", "period", "t", "n", "standardized"])
+    want = duckdb.sql(BLOCKS["boundary_edge"](DUCKDB).over_p()).df().sort_values("id", ignore_index=True)
+    assert want.edge_ranklogit_max_abs[0] == pytest.approx(1.098612)
+    got = run_over(spark, spark.createDataFrame(p), BLOCKS["boundary_edge"](SPARK).over_p()).toPandas().sort_values("id", ignore_index=True)
+    pd.testing.assert_frame_equal(got, want[list(got.columns)], check_exact=True, check_dtype=False)
