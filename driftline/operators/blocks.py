@@ -91,6 +91,23 @@ def slope(x: str) -> str:
     return f"(sum({x} * {middle}) / max(greatest((n * 1e0 * n - 1) * n / 12e0, {EPS})))"
 
 
+def exact_quantiles(src: str, x: str, qs: list[float], out: str) -> list[str]:
+    """For Spark. out: id, q and y, the quantile of x with the last digit that the checking engine gives it, for values that are compared with it.
+
+    At step i + f of the sorted values v that is fma(v[i], 1 - f, v[i + 1] * f): the first product is not rounded, as it is in percentile.
+    Here product and sum are taken apart into what doubles hold and the rest (Dekker, Knuth), and the rests are added last.
+    """
+    half = lambda c: f"134217729e0 * {c} - (134217729e0 * {c} - {c})"  # noqa: E731  its upper 26 bits: products of halves are exact
+    return [
+        f"{out}_v AS (SELECT id, sort_array(collect_list({x})) AS v FROM {src} GROUP BY id)",
+        f"{out}_i AS (SELECT id, v, q, (size(v) - 1) * q AS i FROM {out}_v LATERAL VIEW explode(array({', '.join(f'{q}e0' for q in qs)})) qs_ AS q)",
+        f"{out}_f AS (SELECT id, q, get(v, CAST(floor(i) AS INT)) AS low, get(v, CAST(ceil(i) AS INT)) AS high, i - floor(i) AS f, 1e0 - (i - floor(i)) AS g FROM {out}_i)",
+        f"{out}_c AS (SELECT id, q, low, f, g, low * g AS c, high * f AS d, {half('low')} AS a, {half('g')} AS b FROM {out}_f)",
+        f"{out}_s AS (SELECT id, q, low, f, c, d, c + d AS s, a * b - c + a * (g - b) + (low - a) * b + (low - a) * (g - b) AS rest FROM {out}_c)",
+        f"{out} AS (SELECT id, q, CASE WHEN f = 0e0 THEN low WHEN abs(low) < 1e290 AND abs(s) < 1e290 THEN s + ((c - (s - (s - c))) + (d - (s - c)) + rest) ELSE s END AS y FROM {out}_s)",
+    ]
+
+
 def psd_join(src: str, x: str, out: str, d: Dialect) -> list[str]:
     """out: id, period, n, k, f, p: the power at each of n / 2 + 1 frequencies. Whole series come from the stored table of fast transforms (spectra), short windows and the checking engine by sums over rows."""
     if d.name == "spark" and src == "p":
@@ -160,8 +177,13 @@ def quantiles(d: Dialect) -> Block:
     return Block([ranks, f"qq AS (SELECT id, period, {q}, {ends} FROM qr GROUP BY id, period)"], "qq", columns)
 
 
-def _levels(d: Dialect, x: str, out: str) -> str:
-    return f"{out} AS (SELECT id, " + ", ".join(f"{d.quantile(x, q)} AS b{round(q * 100)}" for q in (0.05, 0.25, 0.5, 0.75, 0.95)) + " FROM p WHERE period = 0 GROUP BY id)"
+def _levels(d: Dialect, x: str, out: str) -> list[str]:
+    """out: id and BEFORE quantiles b5..b95 of x. Values are counted beyond them, so their last digit matters."""
+    qs = [0.05, 0.25, 0.5, 0.75, 0.95]
+    if d.name == "spark":
+        found = ", ".join(f"max(CASE WHEN q = {q}e0 THEN y END) AS b{round(q * 100)}" for q in qs)
+        return [f"{out}_b AS (SELECT id, {x} FROM p WHERE period = 0)", *exact_quantiles(f"{out}_b", x, qs, f"{out}_q"), f"{out} AS (SELECT id, {found} FROM {out}_q GROUP BY id)"]
+    return [f"{out} AS (SELECT id, " + ", ".join(f"{d.quantile(x, q)} AS b{round(q * 100)}" for q in qs) + " FROM p WHERE period = 0 GROUP BY id)"]
 
 
 def rates(d: Dialect) -> Block:
@@ -179,7 +201,7 @@ def rates(d: Dialect) -> Block:
     total = lambda k: jeffreys(f"up{k} + down{k}", "n - 1")
     return Block(
         [
-            _levels(d, "standardized", "rb"),
+            *_levels(d, "standardized", "rb"),
             f"ra AS (SELECT id, period, n, standardized AS z, original, lead(standardized) {W} AS following FROM p)",
             f"rc AS (SELECT ra.id, period, max(n) AS n, {count('abs(z) > b95')} AS far, {count('abs(z) > 3e0')} AS far3, {count('z > b95')} AS above, {count('z < b5')} AS below, "
             f"{count('abs(original) <= 1e-8')} AS zeros, {', '.join(parts)} FROM ra JOIN rb ON ra.id = rb.id GROUP BY ra.id, period)",
@@ -305,7 +327,7 @@ def differences(d: Dialect) -> Block:
     up, down = crossings("x", "following", "0e0")
     return Block(
         [
-            _levels(d, x, "db"),
+            *_levels(d, x, "db"),
             f"da AS (SELECT id, period, n, {x} AS x, lead({x}) {W} AS following FROM p)",
             f"dc AS (SELECT da.id, period, max(n) AS m, {count('abs(x) > 3e0')} AS far3, {count('x > b95')} AS above, {count('x < b5')} AS below, {count(up)} + {count(down)} AS flips FROM da JOIN db ON da.id = db.id GROUP BY da.id, period)",
             *acf("p", "diff_detrended", LBQ_LAGS, "dm"),
@@ -340,7 +362,7 @@ def boundary_local(w: int) -> Callable[[Dialect], Block]:
         asym = "CASE WHEN ups + downs = 0 THEN 0e0 ELSE (ups - downs) * 1e0 / (ups + downs + 1) END"
         return Block(
             [
-                _levels(d, z, "lv"),
+                *_levels(d, z, "lv"),
                 f"lw AS (SELECT id, period, CASE WHEN period = 0 THEN t - greatest(n - {w}, 0) ELSE t END AS t, least(n, {w}) AS n, {series} FROM p WHERE period = 0 AND t >= n - {w} OR period = 1 AND t < {w})",
                 *mads("lw", [z, dz, dd], "lm"),
                 f"lx AS (SELECT *, lead({z}) {W} AS following FROM lw)",

@@ -229,3 +229,30 @@ def test_furthest_edge_of_equal_sizes_and_unlike_signs_is_that_of_the_checking_e
     assert want.edge_ranklogit_max_abs[0] == pytest.approx(1.098612)
     got = run_over(spark, spark.createDataFrame(p), BLOCKS["boundary_edge"](SPARK).over_p()).toPandas().sort_values("id", ignore_index=True)
     pd.testing.assert_frame_equal(got, want[list(got.columns)], check_exact=True, check_dtype=False)
+
+
+def differs_from_its_sql(spark, path, query, ids):
+    """Whether a query over the events of some series (id: values) is not, to its last digit, what the checking engine finds."""
+    import duckdb
+    import pandas as pd
+
+    from driftline.plans import catalog
+
+    rows = [(i, k, float(v)) for i, x in ids.items() for k, v in enumerate(x)]
+    spark.createDataFrame(rows, "user_id long, event_id long, value double").selectExpr("user_id", "event_id", "timestamp_seconds(event_id) ts", "value").write.parquet(f"{path}/events.parquet")
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW events AS SELECT * FROM '{path}/events.parquet/*.parquet'")
+        want = con.execute(catalog.oracle_sql()[query]).df().sort_values("id", ignore_index=True)
+    got = catalog.queries()[query](spark, str(path)).toPandas().sort_values("id", ignore_index=True)
+    assert len(want) == len(ids) and list(got.columns) == list(want.columns)
+    try:
+        pd.testing.assert_frame_equal(got, want, check_exact=True, check_dtype=False)
+    except AssertionError:
+        return True
+    return False
+
+
+def test_boundary_local_counts_values_at_a_level_like_the_checking_engine(spark, tmp_path):
+    """A value of AFTER lies on the line between the two of BEFORE that the 95 % quantile is taken from."""
+    x = [60.1, 10.28, 89.99, 18.29, 20.57, 29.07, 83.45, 41.19, 64.03, 24.2, 65.27, 1.03, 38.04, 3.89, 10.79, 62.59, 17.4, 47.09, 1.0, 66.29, 9.82, 19.22, 8.06, 37.67, 60.17, 38.13, 15.71, 24.85, 20.99, 67.39, 10.18, 97.79, 76.5, 145.63, 55.81, 3.85, 91.94, 89.61, 36.32, 40.49, 2.32, 12.28, 15.29, 108.87, 5.46, 35.49, 61.14, 77.5, 5.82, 67.17, 16.45, 25.38, 49.96, 117.83, 36.84, 48.59, 37.44, 62.33, 2.43, 18.76, 128.51, 1.25, 0.78, 62.62, 13.67, 9.94, 36.73, 83.3, 48.38, 45.17, 27.27]
+    assert not differs_from_its_sql(spark, tmp_path, "feat_boundary_local_w32", {1: x})
