@@ -256,3 +256,10 @@ def test_boundary_local_counts_values_at_a_level_like_the_checking_engine(spark,
     """A value of AFTER lies on the line between the two of BEFORE that the 95 % quantile is taken from."""
     x = [60.1, 10.28, 89.99, 18.29, 20.57, 29.07, 83.45, 41.19, 64.03, 24.2, 65.27, 1.03, 38.04, 3.89, 10.79, 62.59, 17.4, 47.09, 1.0, 66.29, 9.82, 19.22, 8.06, 37.67, 60.17, 38.13, 15.71, 24.85, 20.99, 67.39, 10.18, 97.79, 76.5, 145.63, 55.81, 3.85, 91.94, 89.61, 36.32, 40.49, 2.32, 12.28, 15.29, 108.87, 5.46, 35.49, 61.14, 77.5, 5.82, 67.17, 16.45, 25.38, 49.96, 117.83, 36.84, 48.59, 37.44, 62.33, 2.43, 18.76, 128.51, 1.25, 0.78, 62.62, 13.67, 9.94, 36.73, 83.3, 48.38, 45.17, 27.27]
     assert not differs_from_its_sql(spark, tmp_path, "feat_boundary_local_w32", {1: x})
+
+
+def test_differences_count_values_at_a_level_like_the_checking_engine(spark, tmp_path):
+    """Differences of AFTER that lie on the line between the two of BEFORE that the 5 % quantile is taken from, beyond it and not."""
+    x = [52.13, 70.38, 127.42, 136.16, 33.27, 120.83, 10.2, 129.9, 54.01, 69.39, 46.62, 36.5, 64.03, 104.12, 1.23, 42.56, 21.25, 35.31, 13.6, 28.29, 27.8, 8.15, 9.08, 69.3, 3.86, 87.11, 108.39, 19.52, 44.35, 105.76, 42.48, 42.27, 110.51, 149.07, 113.81, 16.85, 48.96, 124.33, 42.88, 19.46, 10.28, 29.28, 42.0, 66.19, 67.12, 1.73, 74.89, 1.41, 12.51, 70.9, 20.15, 15.7, 4.95, 89.65, 131.83, 17.99, 22.3, 186.16, 38.24, 1.2]
+    y = [30.72, 38.5, 78.86, 33.29, 5.56, 61.17, 24.68, 124.09, 23.82, 63.67, 77.01, 3.9, 67.06, 33.38, 100.04, 34.46, 34.89, 33.83, 6.61, 18.18, 31.16, 73.56, 0.45, 44.87, 81.74, 14.53, 74.35, 14.93, 2.19, 10.63, 46.84, 63.86, 6.78, 10.75, 36.49, 63.55, 17.96, 2.43, 19.96, 119.93, 64.5, 15.61, 28.57, 20.16, 92.69, 9.99, 5.89, 67.8, 40.6, 152.4, 64.72, 22.67, 15.69, 20.35, 20.55, 44.51, 43.71, 27.49, 19.1, 61.24, 39.24, 61.0, 25.88, 21.96, 14.83, 28.6, 50.58, 32.46, 39.64, 41.42, 149.7, 78.82, 62.62, 20.93]
+    assert not differs_from_its_sql(spark, tmp_path, "feat_differences", {1: x, 2: y})
