@@ -263,3 +263,27 @@ def test_differences_count_values_at_a_level_like_the_checking_engine(spark, tmp
     x = [52.13, 70.38, 127.42, 136.16, 33.27, 120.83, 10.2, 129.9, 54.01, 69.39, 46.62, 36.5, 64.03, 104.12, 1.23, 42.56, 21.25, 35.31, 13.6, 28.29, 27.8, 8.15, 9.08, 69.3, 3.86, 87.11, 108.39, 19.52, 44.35, 105.76, 42.48, 42.27, 110.51, 149.07, 113.81, 16.85, 48.96, 124.33, 42.88, 19.46, 10.28, 29.28, 42.0, 66.19, 67.12, 1.73, 74.89, 1.41, 12.51, 70.9, 20.15, 15.7, 4.95, 89.65, 131.83, 17.99, 22.3, 186.16, 38.24, 1.2]
     y = [30.72, 38.5, 78.86, 33.29, 5.56, 61.17, 24.68, 124.09, 23.82, 63.67, 77.01, 3.9, 67.06, 33.38, 100.04, 34.46, 34.89, 33.83, 6.61, 18.18, 31.16, 73.56, 0.45, 44.87, 81.74, 14.53, 74.35, 14.93, 2.19, 10.63, 46.84, 63.86, 6.78, 10.75, 36.49, 63.55, 17.96, 2.43, 19.96, 119.93, 64.5, 15.61, 28.57, 20.16, 92.69, 9.99, 5.89, 67.8, 40.6, 152.4, 64.72, 22.67, 15.69, 20.35, 20.55, 44.51, 43.71, 27.49, 19.1, 61.24, 39.24, 61.0, 25.88, 21.96, 14.83, 28.6, 50.58, 32.46, 39.64, 41.42, 149.7, 78.82, 62.62, 20.93]
     assert not differs_from_its_sql(spark, tmp_path, "feat_differences", {1: x, 2: y})
+
+
+def test_rates_count_values_at_a_level_like_the_checking_engine(spark, tmp_path):
+    """A value of AFTER lies on the line between the two of BEFORE that the 5 % quantile is taken from."""
+    x = [67.89, 30.61, 27.51, 49.6, 27.93, 229.11, 21.93, 110.06, 8.49, 23.85, 16.57, 35.99, 112.37, 60.41, 20.92, 136.77, 41.36, 31.52, 33.65, 13.14, 34.18, 1.97, 36.59, 22.65, 49.91, 17.21, 90.21, 66.66, 109.03, 23.54, 28.52, 32.44, 22.29, 59.0, 9.44, 136.28, 37.66, 21.77, 65.04, 13.64, 24.79, 1.64, 156.43, 26.02, 93.64, 0.37, 9.09, 45.78, 131.48, 10.6, 42.04, 51.46, 260.0, 11.28, 43.15, 38.14, 20.4, 46.43, 63.08, 83.68, 49.02, 13.21, 40.45, 10.91, 29.02, 15.26]
+    assert not differs_from_its_sql(spark, tmp_path, "feat_rates", {1: x})
+
+
+def test_exact_quantiles_of_short_empty_and_infinite_groups(spark):
+    """Also where groups have no value, one value or values without bounds; 20,000 quantiles equal the checking engine's."""
+    import duckdb
+    import pandas as pd
+
+    from driftline.operators.blocks import exact_quantiles
+
+    rng = np.random.default_rng(4)
+    rows = [(i, float(v)) for i in range(4000) for v in np.round(rng.normal(0, 10, rng.integers(1, 60)), 2) / 7.3]
+    rows += [(4000, np.inf), (4000, 2.0), (4000, 3.0), (4001, -np.inf), (4001, 1.0), (4001, np.inf), (4002, 0.0), (4003, None)]
+    qs = [0.05, 0.25, 0.5, 0.75, 0.95]
+    spark.createDataFrame(rows, "id long, x double").createOrReplaceTempView("exact_src")
+    got = spark.sql("WITH " + ", ".join(exact_quantiles("exact_src", "x", qs, "o")) + " SELECT id, q, y FROM o ORDER BY id, q").toPandas()
+    given = pd.DataFrame(rows, columns=["id", "x"]).astype({"x": "Float64"})  # noqa: F841  read by name
+    found = duckdb.sql("SELECT id, " + ", ".join(f"quantile_cont(x, {q})" for q in qs) + " FROM given GROUP BY id ORDER BY id").fetchall()
+    np.testing.assert_array_equal(got.y.to_numpy(float), np.array([r[1:] for r in found], float).ravel())
