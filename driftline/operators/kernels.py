@@ -10,6 +10,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 EPS, ARCH_LAGS, MMD_CAP = 1e-9, 5, 512
 COLUMNS = ["archlm_neglogp_delta", "dwt_l3_energy_logratio", "mmd2_rbf_idrband_equal"]
@@ -116,7 +117,9 @@ def spectra(p: DataFrame) -> DataFrame:
                 out.append(pd.DataFrame({"id": key[0], "period": period, "series": series, "n": len(half), "k": np.arange(len(f)), "f": f, "power": power}))
         return pd.concat(out)
 
-    return p.select("id", "period", "t", *TRANSFORMED).groupBy("id").applyInPandas(one, "id long, period int, series string, n long, k long, f double, power double")
+    found = p.select("id", "period", "t", *TRANSFORMED).groupBy("id").applyInPandas(one, "id long, period int, series string, n long, k long, f double, power double")
+    # The power of a series without bounds is NaN, which pandas hands over as null; aggregates would leave it out.
+    return found.withColumn("power", F.coalesce("power", F.lit(math.nan)))
 
 
 def kernel_columns(p: DataFrame) -> DataFrame:

@@ -265,6 +265,21 @@ def test_differences_count_values_at_a_level_like_the_checking_engine(spark, tmp
     assert not differs_from_its_sql(spark, tmp_path, "feat_differences", {1: x, 2: y})
 
 
+def test_differences_without_bounds_are_nan_like_those_of_the_checking_engine(spark, tmp_path):
+    """Not null: pandas takes the two for the same, so nulls are counted by themselves."""
+    import duckdb
+
+    from driftline.plans import catalog
+
+    x = [5.0, 2.5, np.inf, 3.0, 4.0, 5.5, 1.0, 2.0]
+    assert not differs_from_its_sql(spark, tmp_path, "feat_differences", {1: x, 2: x[3:]})
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+        want = con.execute(catalog.oracle_sql()["feat_differences"]).fetchall()
+    got = catalog.queries()["feat_differences"](spark, str(tmp_path)).collect()
+    assert {r[0]: [v is None for v in r] for r in got} == {r[0]: [v is None for v in r] for r in want}
+
+
 def test_rates_count_values_at_a_level_like_the_checking_engine(spark, tmp_path):
     """A value of AFTER lies on the line between the two of BEFORE that the 5 % quantile is taken from."""
     x = [67.89, 30.61, 27.51, 49.6, 27.93, 229.11, 21.93, 110.06, 8.49, 23.85, 16.57, 35.99, 112.37, 60.41, 20.92, 136.77, 41.36, 31.52, 33.65, 13.14, 34.18, 1.97, 36.59, 22.65, 49.91, 17.21, 90.21, 66.66, 109.03, 23.54, 28.52, 32.44, 22.29, 59.0, 9.44, 136.28, 37.66, 21.77, 65.04, 13.64, 24.79, 1.64, 156.43, 26.02, 93.64, 0.37, 9.09, 45.78, 131.48, 10.6, 42.04, 51.46, 260.0, 11.28, 43.15, 38.14, 20.4, 46.43, 63.08, 83.68, 49.02, 13.21, 40.45, 10.91, 29.02, 15.26]
