@@ -37,6 +37,27 @@ def detrended(x: str) -> str:
     return f"({x} - avg({x}) {w} - {middle} * sum({x} * {middle}) {w} / greatest((n * 1e0 * n - 1) * n / 12e0, 1e-9))"
 
 
+def _exact_bounds(names: list[str], where: str) -> list[str]:
+    """For Spark. y3: id and the bounds lo_x and hi_x of each series, with the last digit that the checking engine gives them: the spread of a window of
+    clipped values is nothing but last digits. The arithmetic is that of blocks.exact_quantiles, for all series in one pass."""
+    half = lambda c: f"134217729e0 * {c} - (134217729e0 * {c} - {c})"
+    bounds = {f"{k}_{c}": (c, q) for c in names for k, q in (("lo", CLIP_LOW), ("hi", CLIP_HIGH))}
+    each = lambda text: ", ".join(re.sub(r"#(\w+)", rf"\1_{b}", text) for b in bounds)
+    step = lambda c, q: f"((size(v_{c}) - 1) * {q}e0)"
+    placed = ", ".join(f"get(v_{c}, CAST(floor({i}) AS INT)) AS low_{b}, get(v_{c}, CAST(ceil({i}) AS INT)) AS high_{b}, {i} - floor({i}) AS f_{b}" for b, (c, q) in bounds.items() for i in [step(c, q)])
+    found = ", ".join(
+        f"CASE WHEN f_{b} = 0e0 THEN low_{b} WHEN abs(low_{b}) < 1e290 AND abs(s_{b}) < 1e290 THEN s_{b} + ((c_{b} - (s_{b} - (s_{b} - c_{b}))) + (d_{b} - (s_{b} - c_{b})) + rest_{b}) ELSE s_{b} END AS {b}" for b in bounds
+    )
+    return [
+        f"y3v AS (SELECT id, {', '.join(f'sort_array(collect_list({c})) AS v_{c}' for c in names)} FROM y2 WHERE {where} GROUP BY id)",
+        f"y3i AS (SELECT id, {placed} FROM y3v)",
+        f"y3g AS (SELECT id, {each('#low, #high, #f, 1e0 - #f AS #g')} FROM y3i)",
+        f"y3c AS (SELECT id, {each(f'#low, #f, #g, #low * #g AS #c, #high * #f AS #d, {half("#low")} AS #a, {half("#g")} AS #b')} FROM y3g)",
+        f"y3s AS (SELECT id, {each('#low, #f, #c, #d, #c + #d AS #s, #a * #b - #c + #a * (#g - #b) + (#low - #a) * #b + (#low - #a) * (#g - #b) AS #rest')} FROM y3c)",
+        f"y3 AS (SELECT id, {found} FROM y3s)",
+    ]
+
+
 def preprocess_sql(adapter: Adapter, d: Dialect) -> str:
     """CTEs that end in p: id, time, period, t, n and the series."""
     half = "period = 0"
@@ -55,8 +76,11 @@ def preprocess_sql(adapter: Adapter, d: Dialect) -> str:
     parts.append("y1 AS (SELECT z4.id, time, period, t, n, x, z, q, (dz - m_d) / s_d AS d1, (ddz - m_dd) / s_dd AS d2, (az - m_a) / s_a AS a FROM z4 JOIN m2 ON z4.id = m2.id)")
     parts.append("y2 AS (SELECT *, abs(d1) AS ad FROM y1)")
     names = ["z", "d1", "ad", "a", "q", "d2"]
-    bounds = ", ".join(f"{d.quantile(c, CLIP_LOW)} AS lo_{c}, {d.quantile(c, CLIP_HIGH)} AS hi_{c}" for c in names)
-    parts.append(f"y3 AS (SELECT id, {bounds} FROM y2 WHERE {half} GROUP BY id)")
+    if d.name == "spark":
+        parts += _exact_bounds(names, half)
+    else:
+        bounds = ", ".join(f"{d.quantile(c, CLIP_LOW)} AS lo_{c}, {d.quantile(c, CLIP_HIGH)} AS hi_{c}" for c in names)
+        parts.append(f"y3 AS (SELECT id, {bounds} FROM y2 WHERE {half} GROUP BY id)")
     clips = ", ".join(f"{_clipped(c)} AS c_{c}" for c in names)
     parts.append(f"y4 AS (SELECT y2.id, time, period, t, n, x, z, d1, d2, {clips} FROM y2 JOIN y3 ON y2.id = y3.id)")
     parts.append(

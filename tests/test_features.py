@@ -302,3 +302,21 @@ def test_exact_quantiles_of_short_empty_and_infinite_groups(spark):
     given = pd.DataFrame(rows, columns=["id", "x"]).astype({"x": "Float64"})  # noqa: F841  read by name
     found = duckdb.sql("SELECT id, " + ", ".join(f"quantile_cont(x, {q})" for q in qs) + " FROM given GROUP BY id ORDER BY id").fetchall()
     np.testing.assert_array_equal(got.y.to_numpy(float), np.array([r[1:] for r in found], float).ravel())
+
+
+def test_clipped_values_are_those_of_the_checking_engine_to_the_last_digit(spark, tmp_path):
+    """Where each value stands six times, a bound lies between equal values, and constant windows of values at it have no spread but last digits."""
+    import duckdb
+
+    from driftline.functions.dialect import DUCKDB
+    from driftline.operators.preprocess import preprocess_sql
+
+    x = [120.98, 27.28, 44.83, 55.54, 6.31, 54.65, 19.76, 9.49, 85.87, 198.46, 9.27, 25.89, 66.03, 17.95, 5.38, 64.99, 81.65, 127.56, 66.61, 14.73, 5.11, 7.81, 28.07, 50.73, 120.25, 34.18, 70.16, 67.85, 116.74, 63.93, 69.55, 20.3, 37.17, 13.02, 26.31, 23.41, 28.38, 29.15, 29.18, 64.22, 80.95, 12.98, 48.96, 53.19, 25.74, 55.07, 37.64, 65.42, 0.96, 85.11, 12.02]
+    y = [19.34, 6.09, 96.86, 32.88, 17.51, 83.0, 80.71, 185.97, 12.75, 21.5, 0.86, 20.4, 35.02, 19.11, 23.74, 36.95, 102.13, 132.25, 117.08, 25.78, 8.51, 134.83, 33.0, 0.38, 155.0, 42.57, 97.52, 11.85, 20.47, 53.65, 81.41, 6.84, 55.36, 78.27, 67.82, 96.66, 9.49, 10.63, 48.43, 138.69, 4.7, 1.92, 92.14, 2.07, 4.71, 85.22, 7.16, 74.13, 100.12, 25.64, 61.71]
+    rows = [(i, 6 * k + c, v) for i, values in ((1, x), (2, y)) for k, v in enumerate(values) for c in range(6)] + [(90, 0, 1.5), (90, 1, 2.5), (91, 0, float("inf")), (91, 1, 3.0), (91, 2, 3.0), (91, 3, 1.0)]
+    spark.createDataFrame(rows, "user_id long, event_id long, value double").selectExpr("user_id", "event_id", "timestamp_seconds(event_id) ts", "value").write.parquet(f"{tmp_path}/events.parquet")
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+        want = con.execute(f"WITH {preprocess_sql(E1, DUCKDB)} SELECT id, time, clipped FROM p ORDER BY id, time").df()
+    got = build_preprocessed(spark, str(tmp_path), E1).select("id", "time", "clipped").orderBy("id", "time").toPandas()
+    np.testing.assert_array_equal(got.to_numpy(float), want.to_numpy(float))
